@@ -34,8 +34,8 @@ from .common import map_texts, write_table
 #: Registers of a sketch, in bands of so many; base and truncation of the register values.
 BANDS, ROWS = 24, 5
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
-#: Buckets with more members than this verify pairs inside the join; the rest list their pairs.
-LARGE = 128
+#: Larger buckets are compared block against block, in blocks of about so many; the rest list their pairs.
+LARGE, BLOCK = 128, 512
 #: An estimate so far below the threshold leaves a pair out: over four standard deviations.
 MARGIN = 0.15
 
@@ -186,6 +186,40 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "registers", "registers_b", "n", "n_b").mapInArrow(run, "a long, b long")
 
 
+def _block_links(percent: int):
+    """The links between members of two blocks of a bucket, tried as in the join of small buckets."""
+
+    def run(key, t):
+        band, x, y = key[0].as_py(), key[2].as_py(), key[3].as_py()
+        doc, comp, n, block = (t.column(c).to_numpy() for c in ("doc", "comp", "n", "block"))
+        j = t.column("j").to_numpy(zero_copy_only=False).astype(float) if t.num_rows else np.empty(0)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(t.num_rows, -1).astype(np.int32)
+        shingles = t.column("shingles").combine_chunks()
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        out_a, out_b = [], []
+        for i in range(0, len(left), 64):
+            part = left[i : i + 64]
+            ok = comp[part][:, None] != comp[right]
+            ok &= 100 * np.minimum(n[part][:, None], n[right]) >= percent * np.maximum(n[part][:, None], n[right])
+            ok &= ~(np.abs(j[part][:, None] - j[right]) > 1 - percent / 100 + 1e-9)
+            ok &= doc[part][:, None] > doc[right] if x == y else doc[part][:, None] != doc[right]
+            for b in range(band):
+                ok &= bands[part, b][:, None] != bands[right, b]
+            p, q = np.nonzero(ok)
+            p, q = part[p], right[q]
+            for s in range(0, len(p), 4096):
+                u, v = p[s : s + 4096], q[s : s + 4096]
+                like = joint_similarity(regs[u], regs[v], n[u].astype(float), n[v].astype(float)) >= percent / 100 - MARGIN
+                for a, b in zip(u[like].tolist(), v[like].tolist(), strict=True):
+                    both = len(np.intersect1d(shingles[a].values.to_numpy(), shingles[b].values.to_numpy(), assume_unique=True))
+                    if 100 * both >= percent * (n[a] + n[b] - both):
+                        out_a.append(max(doc[a], doc[b])), out_b.append(min(doc[a], doc[b]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
+
+
 def _held(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs with their intersection ``both`` and the sizes ``n`` and ``n_b`` of the full sets."""
     side = pairs.join(full.withColumnRenamed("doc", "a"), "a")
@@ -232,25 +266,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     side = side.withColumn("j", F.when(F.col("doc") == F.col("hub"), 1.0).when(F.col("texts") == 1, F.col("j"))).drop("hub", "texts")
     side = write_table(side, "left")
 
-    def tried_pairs(side: DataFrame, *more) -> DataFrame:
-        other = side.select(*(F.col(c).alias(f"{c}_b") for c in side.columns))
-        near = (
-            (F.col("band") == F.col("band_b"))
-            & (F.col("key") == F.col("key_b"))
-            & (F.col("doc") > F.col("doc_b"))
-            & (F.col("comp") != F.col("comp_b"))
-            & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
-            & F.coalesce(F.abs(F.col("j") - F.col("j_b")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-            & (F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1)
-        )
-        for cond in more:
-            near = near & cond
-        return side.join(other, near).select(F.col("doc").alias("a"), F.col("doc_b").alias("b"))
-
-    pairs = tried_pairs(side.where(F.col("size") <= LARGE)).join(tried, ["a", "b"], "left_anti")
+    small = side.where(F.col("size") <= LARGE)
+    other = small.select(*(F.col(c).alias(f"{c}_b") for c in small.columns))
+    near = (
+        (F.col("band") == F.col("band_b"))
+        & (F.col("key") == F.col("key_b"))
+        & (F.col("doc") > F.col("doc_b"))
+        & (F.col("comp") != F.col("comp_b"))
+        & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
+        & F.coalesce(F.abs(F.col("j") - F.col("j_b")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+        & (F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1)
+    )
+    pairs = small.join(other, near).select(F.col("doc").alias("a"), F.col("doc_b").alias("b")).join(tried, ["a", "b"], "left_anti")
     links = _held(_likely(write_table(pairs, "pairs"), sketches, percent), full).where(linked).select("a", "b")
-    both = F.size(F.array_intersect("shingles", "shingles_b")).cast("long")
-    sure = tried_pairs(side.where(F.col("size") > LARGE).join(full.select("doc", "shingles"), "doc"), 100 * both >= percent * (F.col("n") + F.col("n_b") - both))
+
+    large = side.where(F.col("size") > LARGE).join(full.select("doc", "shingles"), "doc").join(sketches.select("doc", "registers"), "doc")
+    large = large.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    large = large.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.withColumn("x", F.least("block", "with")).withColumn("y", F.greatest("block", "with"))
+    sure = large.groupBy("band", "key", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
     links = write_table(links.unionByName(sure), "links")
 
     # rows with equal sets and rows of one doc_id belong together
