@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Arrow batches hold at most so many rows; a batch of whole texts then stays small.
 BATCH_ROWS = 1024
@@ -73,6 +75,8 @@ def map_texts(
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
+    kinds = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(schema))}
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
         for batch in batches:
@@ -84,7 +88,7 @@ def map_texts(
                 got = fn(texts[i:j])
                 cols = [batch.column(k).slice(i, j - i) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(
-                    cols + [v if isinstance(v, pa.Array) else pa.array(v) for v in got.values()],
+                    cols + [pa.array(v, kinds[n]) for n, v in got.items()],
                     names=[*keep, *got],
                 )
 

@@ -124,7 +124,7 @@ def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
                 r = registers(s).reshape(BANDS, ROWS)
                 regs.append(r.tobytes())
                 keys.append([np.uint64(xxhash.xxh3_64_intdigest(row.tobytes(), seed=b)).astype(np.int64) for b, row in enumerate(r)])
-            return {"n_shingles": n, "h1": h1, "h2": h2, "registers": pa.array(regs, pa.binary()), "bands": keys}
+            return {"n_shingles": n, "h1": h1, "h2": h2, "registers": regs, "bands": keys}
 
         return fn
 
