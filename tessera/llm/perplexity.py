@@ -164,7 +164,8 @@ def quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, lower: flo
     """
     spark = docs.sparkSession
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    model = train(docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+    # labels grow with the documents, so the join is by shuffle at every size
+    model = train(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi"))
     shared = spark.sparkContext.broadcast(model)
 
     def make():
