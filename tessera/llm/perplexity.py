@@ -26,6 +26,8 @@ CLASSES = 1 << BITS
 UPPER, LOWER, MARGIN = 0.98, 0.01, 0.12
 #: A text's mean is drawn to its language's as if it had so many more characters.
 PRIOR = 40
+#: A table with more languages than this is joined by shuffle, not broadcast.
+MOST_SENT = 10_000
 
 _OTHER, _UPPER, _DIGIT, _SPACE, _LINE, _MARK = 1, 2, 3, 4, 5, 6
 _PUNCTUATION = ".,;:!?'\"-()|/"
@@ -153,6 +155,12 @@ def train(trusted: DataFrame) -> CharModel:
     return CharModel(tables[::-1])
 
 
+def _by_language(df: DataFrame, label: str) -> DataFrame:
+    """A row for each language (``l``), written, and broadcast if its rows are few."""
+    written = write_table(df.withColumnRenamed("lang", "l"), label)
+    return F.broadcast(written) if written.count() <= MOST_SENT else written
+
+
 def quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, lower: float = LOWER, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, low, high and kept for each row of ``docs``.
 
@@ -176,10 +184,10 @@ def quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, lower: flo
     trusted = scored.where("n_chars > 0").join(good, "doc_id", "left_semi")
     stats = [(F.sum("loss") / F.sum("n_chars")).alias("mean"), F.count("*").alias("docs")]
     mean_all = trusted.agg(*stats).withColumnRenamed("mean", "mean_all").drop("docs")
-    means = trusted.groupBy("lang").agg(*stats).where("docs >= 20").drop("docs")
+    means = _by_language(trusted.groupBy("lang").agg(*stats).where("docs >= 20").drop("docs"), "means")
 
     def drawn(df: DataFrame) -> DataFrame:
-        df = df.join(F.broadcast(means.limit(10_000)).withColumnRenamed("lang", "l"), F.col("lang") == F.col("l"), "left").drop("l").crossJoin(F.broadcast(mean_all))
+        df = df.join(means, F.col("lang") == F.col("l"), "left").drop("l").crossJoin(F.broadcast(mean_all))
         mean = F.coalesce("mean", "mean_all")
         return df.withColumn("x", F.coalesce((F.col("loss") + PRIOR * mean) / (F.col("n_chars") + PRIOR), F.lit(0.0))).drop("mean", "mean_all")
 
@@ -187,8 +195,8 @@ def quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, lower: flo
     ends = [(at(lower) - margin).alias("low"), (at(upper) + margin).alias("high")]
     own = drawn(trusted)
     every = own.agg(*ends).select(F.col("low").alias("low_all"), F.col("high").alias("high_all"))
-    each = own.groupBy("lang").agg(*ends, F.count("*").alias("docs")).where("docs >= 20").drop("docs").limit(10_000).withColumnRenamed("lang", "l")
-    out = drawn(scored).join(F.broadcast(each), F.col("lang") == F.col("l"), "left").drop("l").crossJoin(F.broadcast(every))
+    each = _by_language(own.groupBy("lang").agg(*ends, F.count("*").alias("docs")).where("docs >= 20").drop("docs"), "ends")
+    out = drawn(scored).join(each, F.col("lang") == F.col("l"), "left").drop("l").crossJoin(F.broadcast(every))
     low, high = F.coalesce("low", "low_all"), F.coalesce("high", "high_all")
     inside = F.coalesce(F.col("x").between(low, high), F.lit(True)) & (F.col("n_chars") > 0)
     return out.select("doc_id", "lang", "n_chars", F.exp("x").alias("perplexity"), F.exp(low).alias("low"), F.exp(high).alias("high"), inside.alias("kept"))
