@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +61,25 @@ def slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+class Covered:
+    """Spans (kind, start, end) of a text, overlaps allowed, asked for in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        pairs = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in pairs]
+        self.ends = list(accumulate((b for _, b in pairs), max))
+
+    def meets(self, a: int, b: int) -> bool:
+        """Whether a span shares a place with a..b."""
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.ends[i - 1] > a
+
+    def holds(self, a: int, b: int) -> bool:
+        """Whether one span covers all of a..b."""
+        i = bisect_right(self.starts, a)
+        return i > 0 and self.ends[i - 1] >= b
+
+
 def map_texts(
     df: DataFrame,
     schema: str,

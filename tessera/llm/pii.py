@@ -16,16 +16,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, write_table
+from .common import Covered, map_texts, write_table
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # starts inside a run match only if its first does
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Strings that may be identifiers: at least four digits, or a sign of an address.
-_STRING = re.compile(r"[^\s\"'<>|,;]+")
+#: Strings that may be identifiers, at least four digits in at most so many characters, end here.
+_END = re.compile(r"[\s\"'<>|,;]")
+LONGEST = 200
 #: Confidence that a pattern needs, the known values it must surround, and the rounds.
 CONFIDENCE, SUPPORT, ROUNDS = 0.8, 8, 3
 
@@ -38,11 +40,23 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> list[tuple[str, int, int]]:
+    """Each match holds one @, so the signs are tried in turn; long runs of letters cost no more."""
+    out, free = [], 0
+    at = text.find("@")
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(_LOCAL))
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append(("email", start, m.end()))
+        free = m.end() if m else at + 1
+        at = text.find("@", free)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans by kind as listed, then start."""
-    out = []
-    if "@" in text:
-        out += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text)]
+    out = _emails(text)
     if not _DIGIT.search(text):
         return out
     out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
@@ -76,22 +90,21 @@ def _scan(text: str) -> tuple[list, list]:
     base = base_spans(text)
     seen = []
     if base or _DIGIT.search(text):
-        taken = sorted((a, b) for _, a, b in base)
+        taken = Covered(base)
         for k, a, b in base:
             seen.append({"kind": k, "start": a, "end": b, "value": text[a:b], "patterns": contexts(text, a, b)})
-        for m in re.finditer(r"[0-9]", text):
-            if seen and seen[-1]["kind"] == "" and m.start() < seen[-1]["end"]:
-                continue  # inside the string just found
-            a = b = m.start()
-            while a > 0 and not text[a - 1].isspace() and text[a - 1] not in "\"'<>|,;" and b - a < 200:
-                a -= 1
-            got = _STRING.match(text, a)
-            if got is None or got.end() - a > 200:
-                continue
-            s = got[0].rstrip(".:!?)*#$%&")
-            b = a + len(s)
-            if sum(map(str.isdigit, s)) >= 4 and not any(x < b and a < y for x, y in taken):
-                seen.append({"kind": "", "start": a, "end": b, "value": s, "patterns": contexts(text, a, b)})
+        m, done = _DIGIT.search(text), 0
+        while m:
+            # the string around the digit; each string is looked at once
+            head = text[max(done, m.start() - LONGEST) : m.start()]
+            a = m.start() - len(_END.split(head)[-1])
+            stop = _END.search(text, m.end())
+            done = stop.start() if stop else len(text)
+            if done - a <= LONGEST:
+                s = text[a:done].rstrip(".:!?)*#$%&")
+                if sum(map(str.isdigit, s)) >= 4 and not taken.meets(a, a + len(s)):
+                    seen.append({"kind": "", "start": a, "end": a + len(s), "value": s, "patterns": contexts(text, a, a + len(s))})
+            m = _DIGIT.search(text, done)
     return [{"kind": k, "start": a, "end": b} for k, a, b in base], seen
 
 

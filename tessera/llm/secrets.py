@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import Covered, map_texts
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -79,7 +79,8 @@ def vocabulary(path: str) -> Callable[[str], int]:
 def scan(text: str, tokens: Callable[[str], int]) -> list[tuple[str, int, int]]:
     """All spans by start, then kind; random strings that a base span covers are not repeated."""
     base = base_spans(text)
-    more = [r for r in random_spans(text, tokens) if not any(a <= r[1] and r[2] <= b for _, a, b in base)]
+    covered = Covered(base)
+    more = [r for r in random_spans(text, tokens) if not covered.holds(r[1], r[2])]
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -183,6 +184,25 @@ def test_pii_base(spark, odd):
     assert pii.pii_digest(odd).count() == 7
 
 
+def test_pii_patterns_equal_plain_regexes():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(3)
+    for _ in range(5000):
+        text = "".join(rng.choice("a12.@-% 3") for _ in range(rng.randint(0, 30)))
+        got = pii.base_spans(text)
+        assert [s[1:] for s in got if s[0] == "email"] == [m.span() for m in email.finditer(text)]
+        assert [s[1:] for s in got if s[0] == "ip"] == [m.span() for m in ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000 + " a@b.c", "a" * 1_000_000 + " @", "a@b.cc 12345 " * 50_000, "a@" * 300_000, "1." * 300_000])
+def test_long_runs_take_linear_time(text):
+    began = time.process_time()
+    pii._scan(text)
+    secrets.scan(text, len)
+    assert time.process_time() - began < 20
+
+
 def test_pii_bootstraps_contexts(spark):
     rng = random.Random(6)
     texts = [f"please call number +1 212 555 {i:04d} today" for i in range(40)]
