@@ -126,7 +126,7 @@ class Items:
                 begin, end = max(0, p - off - size // 2), min(len(h), p - off + size + size // 2)
                 own = windows.setdefault(i, [])
                 if own and begin <= own[-1][0] + size // 4:  # places of one copy share a window
-                    own[-1] = (own[-1][0], max(own[-1][1], end))
+                    own[-1] = (min(own[-1][0], begin), max(own[-1][1], end))
                 else:
                     own.append((begin, end))
         return windows
@@ -216,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     """doc_id, item_id and score: a row for each test item that a row of ``docs`` holds.
 
     A document holds an item when one aligned stretch covers at least ``least`` of it; items of
-    fewer than 8 words must be there whole. Null and empty texts and items match nothing; of items
+    fewer than 8 words must be there whole, and those of fewer than 3 match nothing. Null and empty texts and items match nothing; of items
     with the same id the best score counts. Further columns are ignored.
     """
     out = None

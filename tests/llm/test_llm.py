@@ -327,6 +327,16 @@ def test_alignment_equals_the_recurrence():
     assert decontaminate.align(a, b).tolist() == [smith_waterman(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
 
+def test_windows_cover_every_place_of_a_seed():
+    item = ["x", "y", "z"] + [f"w{i}" for i in range(97)] + ["x", "y", "z"] + [f"v{i}" for i in range(47)]
+    text = [f"t{i}" for i in range(300)] + [w if i % 3 or i > 99 else "other" for i, w in enumerate(item)]
+    own = decontaminate.Items([1], [" ".join(item)], {})
+    h = decontaminate.hashes(" ".join(text), decontaminate._Ids())
+    windows = own.candidates(h)[0]
+    assert any(a <= 300 and b >= 450 for a, b in windows)
+    assert own.score([(0, h[a:b]) for a, b in windows]).max() > 0.6
+
+
 def test_decontamination(spark, odd):
     rng = random.Random(13)
     vocab = [f"word{i}" for i in range(3000)]
