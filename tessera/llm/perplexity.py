@@ -1,11 +1,16 @@
 """A quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model runs over classes of characters, of which there are 64: so an n-gram of order 4 is a
-24-bit number and no table can pass 2^24 entries, whatever the corpus. Trusted texts are counted
-in each task, the counts are summed by n-gram over the cluster, and joins of the count tables by
-context and by suffix give the continuation counts, the discounts and the interpolation weights.
-The finished tables are spread out over all n-grams once in each worker, where scoring a text is
-one look-up a character.
+The model runs over words, order 4. All n-grams of trusted text are counted in tables that grow
+with the text and stay spread over the cluster; joins by context and by suffix give continuation
+counts, discounts and interpolation weights. With f(g) = log p(g) - log(weight of g's context) -
+log p(g's suffix) for a counted n-gram, a text's log-probability is the sum, over its n-grams of all
+orders, of f where they are counted and of the log of their weight as contexts. So one join of the
+documents' distinct n-grams with a table of such values, summed by document, scores everything.
+
+Words that trusted text lacks are spelt by a small model of the same kind over 64 classes of
+characters; it is the base of the word model, has at most 2^24 entries, and is broadcast.
+
+A trusted document is scored as if it weren't counted: n-grams that it alone holds are unseen.
 
 Thresholds are quantiles of the perplexities of trusted documents of the same language, with a
 margin: above the upper one a text is unlike trusted text, below the lower one it repeats itself.
@@ -15,10 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, write_table
+from .common import BATCH_ROWS, slices, write_table
 
 ORDER, BITS = 4, 6
 CLASSES = 1 << BITS
@@ -90,12 +96,8 @@ def count_grams(trusted: DataFrame) -> DataFrame:
     return trusted.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _order(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """(gram, alpha) and (context, gamma) of one order.
-
-    ``alpha`` is the discounted share of the gram in its context, ``gamma`` what the discounts leave
-    to the lower order. Discounts are the modified Kneser-Ney ones from counts of counts.
-    """
+def _discount(counts: DataFrame):
+    """The modified Kneser-Ney discount of ``n``, from counts of counts."""
     of = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
     n1, n2, n3, n4 = (of.get(i, 0) for i in (1, 2, 3, 4))
     d = [0.5, 0.75, 0.9]
@@ -103,7 +105,16 @@ def _order(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
         y = n1 / (n1 + 2 * n2)
         d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2 - 3 * y * n3 / n2]
         d = [min(max(v, 0.05), i + 0.95) for i, v in enumerate(d)]
-    cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+
+
+def _order(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """(gram, alpha) and (context, gamma) of one order.
+
+    ``alpha`` is the discounted share of the gram in its context, ``gamma`` what the discounts leave
+    to the lower order.
+    """
+    cut = _discount(counts)
     shared = counts.withColumn("context", F.shiftright("gram", BITS)).withColumn("cut", F.least(cut, F.col("n").cast("double")))
     context = shared.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"))
     alpha = shared.join(context, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("alpha"))
@@ -142,7 +153,7 @@ class CharModel:
 
 
 def train(trusted: DataFrame) -> CharModel:
-    """Count all trusted texts and fit the model; at most 2^24 entries reach the driver."""
+    """Fit the spelling model to all trusted texts; at most 2^24 entries reach the driver."""
     counts = write_table(count_grams(trusted), "grams")
     tables = []
     for order in range(ORDER, 0, -1):
@@ -155,6 +166,133 @@ def train(trusted: DataFrame) -> CharModel:
     return CharModel(tables[::-1])
 
 
+#: Words of an n-gram; what stands before and after a text.
+WORDS = 4
+_START, _STOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_MIX = np.uint64(0xFF51AFD7ED558CCD)
+#: Columns of a counted position: the n-grams that end there, their contexts, the spelling's loss.
+_COUNTED = [f"g{k}" for k in range(WORDS, 0, -1)] + [f"c{k}" for k in range(WORDS - 1, 0, -1)]
+
+
+class _Words(dict):
+    """Hash and spelling loss of words."""
+
+    def __init__(self, spelling: CharModel):
+        self.spelling = spelling
+
+    def look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > 500_000:
+            self.clear()
+        new = list({w for w in words if w not in self})
+        if new:
+            for w, loss in zip(new, self.spelling.losses([w + " " for w in new]).tolist(), strict=True):
+                self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), loss
+        got = [self[w] for w in words]
+        return np.array([g[0] for g in got], np.uint64), np.array([g[1] for g in got], np.float64)
+
+
+def word_grams(text: str, words: _Words) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n-grams of order 1 to 4 that end at each place, and the spelling's losses.
+
+    The places are the last start sign, the words, and the stop sign. The highest order has no
+    n-gram at the start sign (0).
+    """
+    h, loss = words.look([*text.split(), ""])  # the stop sign is the word without letters
+    h = np.concatenate([np.full(WORDS - 1, _START), h[:-1], [_STOP]])
+    out = [h]
+    for k in range(1, WORDS):
+        g = (np.concatenate([[np.uint64(0)], out[-1][:-1]]) ^ np.uint64(k)) * _MIX
+        g = ((g ^ (g >> np.uint64(29))) + h) * _MIX
+        out.append(g ^ (g >> np.uint64(32)))
+    out = [g[WORDS - 2 :] for g in out]
+    out[-1][0] = 0
+    return out, np.concatenate([[0.0], loss])
+
+
+def _batched(df: DataFrame, run, schema: str) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
+def count_words(trusted: DataFrame, spelling) -> DataFrame:
+    """Each n-gram of the highest order with its count ``n``, its suffixes, and their contexts."""
+
+    def run(batches):
+        words = _Words(spelling.value)
+        for b in batches:
+            texts = [t for t in b.column(0).to_pylist() if t]
+            for i, j in slices(texts, 1_000_000):
+                cols, base = [], []
+                for t in texts[i:j]:
+                    g, loss = word_grams(t, words)
+                    cols.append(np.stack([x[1:] for x in g[::-1]] + [x[:-1] for x in g[-2::-1]]))
+                    base.append(loss[1:])
+                every, base = np.concatenate(cols, axis=1).view(np.int64), np.concatenate(base)
+                _, first, n = np.unique(every[0], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[first]) for c in every), pa.array(base[first]), pa.array(n)], names=[*_COUNTED, "base", "n"])
+
+    rows = _batched(trusted.select("text"), run, ", ".join(f"{c} long" for c in _COUNTED) + ", base double, n long")
+    return rows.groupBy("g4").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in [*_COUNTED[1:], "base"])).withColumn("raw", F.col("n"))
+
+
+def word_values(trusted: DataFrame, spelling) -> tuple[DataFrame, float]:
+    """key, value and raw (its count) of each n-gram and context, and the weight of the spelling."""
+    counts, tables = write_table(count_words(trusted, spelling), "words"), []
+    for k in range(WORDS, 0, -1):
+        tables.append(counts)
+        if k > 1:  # below the highest order, an n-gram counts the distinct words before it
+            rest = [c for c in counts.columns if c not in (f"g{k}", f"c{k - 1}", f"g{k - 1}", "n", "raw")]
+            counts = write_table(counts.groupBy(f"g{k - 1}").agg(F.count("*").alias("n"), F.sum("raw").alias("raw"), *(F.first(c).alias(c) for c in rest)), "words")
+    weight, lower, out = 1.0, None, None
+    for k, counts in enumerate(tables[::-1], 1):
+        cut = F.least(_discount(counts), F.col("n").cast("double"))
+        counts = counts.withColumn("cut", cut)
+        sums = [F.sum("n").alias("total"), F.sum("cut").alias("cuts"), F.sum("raw").alias("raw_c")]
+        if k == 1:
+            every = counts.agg(*sums).first()
+            weight = every["cuts"] / every["total"] if every["total"] else 1.0
+            p = (F.col("n") - F.col("cut")) / F.lit(float(every["total"] or 1)) + F.lit(weight) * F.exp(-F.col("base"))
+            value, found = F.log("p") - F.lit(float(np.log(weight))) + F.col("base"), counts.withColumn("p", p)
+        else:
+            contexts = write_table(counts.groupBy(f"c{k - 1}").agg(*sums).withColumn("gamma", F.col("cuts") / F.col("total")), "contexts")
+            found = counts.join(contexts, f"c{k - 1}").join(lower.withColumnsRenamed({"key": f"g{k - 1}", "p": "q"}).select(f"g{k - 1}", "q"), f"g{k - 1}")
+            found = found.withColumn("p", (F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("q"))
+            value = F.log("p") - F.log("gamma") - F.log("q")
+            out = out.unionByName(contexts.select(F.col(f"c{k - 1}").alias("key"), F.log("gamma").alias("value"), F.col("raw_c").alias("raw")))
+        lower = write_table(found.select(F.col(f"g{k}").alias("key"), value.alias("value"), "raw", "p"), "values")
+        rows = lower.select("key", "value", "raw")
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("key").agg(F.sum("value").alias("value"), F.max("raw").alias("raw")), float(weight)
+
+
+def word_losses(docs: DataFrame, values: DataFrame, weight: float, spelling) -> DataFrame:
+    """row and ``loss``, the sum of -log p over the words and the stop sign of each text."""
+
+    def run(batches):
+        words = _Words(spelling.value)
+        for b in batches:
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if text:
+                    grams, loss = word_grams(text, words)
+                    keys, n = np.unique(np.concatenate(grams).view(np.int64), return_counts=True)
+                    # key 0 is no n-gram: it brings what all words cost when none is counted
+                    base = np.where(keys == 0, loss.sum() - (len(loss) - 1) * np.log(weight), 0.0)
+                    for s in range(0, len(keys), 50_000):
+                        part = slice(s, s + 50_000)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), row)), pa.array(keys[part]), pa.array(n[part]), pa.array(base[part])], names=["row", "key", "c", "base"])
+
+    asked = _batched(docs.select("row", "text"), run, "row long, key long, c long, base double")
+    own = docs.where("trusted").select(F.col("row").alias("own"))
+    got = asked.join(values, "key", "left").groupBy("row").agg(
+        F.sum("base").alias("base"),
+        F.coalesce(F.sum(F.col("c") * F.col("value")), F.lit(0.0)).alias("seen"),
+        # what a trusted text leaves when its own counts are taken out
+        F.coalesce(F.sum(F.when(F.col("raw") > F.col("c"), F.col("c") * F.col("value"))), F.lit(0.0)).alias("others"),
+    )
+    got = got.join(own.hint("merge"), got["row"] == own["own"], "left")
+    return got.select("row", (F.col("base") - F.when(F.col("own").isNull(), F.col("seen")).otherwise(F.col("others"))).alias("loss"))
+
+
 def _by_language(df: DataFrame, label: str) -> DataFrame:
     """A row for each language (``l``), written, and broadcast if its rows are few."""
     written = write_table(df.withColumnRenamed("lang", "l"), label)
@@ -172,16 +310,17 @@ def quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, lower: flo
     """
     spark = docs.sparkSession
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    # labels grow with the documents, so the join is by shuffle at every size
-    model = train(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi"))
-    shared = spark.sparkContext.broadcast(model)
-
-    def make():
-        return lambda texts: {"n_chars": [len(t) for t in texts], "loss": shared.value.losses(texts)}
-
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    scored = write_table(map_texts(docs.select("doc_id", lang.alias("lang"), "text"), "doc_id long, lang string, n_chars long, loss double", make, keep=("doc_id", "lang")), "losses")
-    trusted = scored.where("n_chars > 0").join(good, "doc_id", "left_semi")
+    # labels grow with the documents, so the join is by shuffle at every size
+    marked = docs.select("doc_id", lang.alias("lang"), "text").join(good.withColumn("trusted", F.lit(True)).hint("merge"), "doc_id", "left")
+    marked = write_table(marked.withColumn("trusted", F.coalesce("trusted", F.lit(False))).withColumn("row", F.monotonically_increasing_id()), "marked")
+    spelling = spark.sparkContext.broadcast(train(marked.where("trusted")))
+    values, weight = word_values(marked.where("trusted"), spelling)
+    losses = word_losses(marked, values, weight, spelling)
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    scored = marked.select("doc_id", "lang", size.alias("n_chars"), "trusted", "row").join(losses.hint("merge"), "row", "left")
+    scored = write_table(scored.withColumn("loss", F.coalesce("loss", F.lit(0.0))).drop("row"), "losses")
+    trusted = scored.where("trusted and n_chars > 0")
     stats = [(F.sum("loss") / F.sum("n_chars")).alias("mean"), F.count("*").alias("docs")]
     mean_all = trusted.agg(*stats).withColumnRenamed("mean", "mean_all").drop("docs")
     means = _by_language(trusted.groupBy("lang").agg(*stats).where("docs >= 20").drop("docs"), "means")

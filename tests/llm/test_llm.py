@@ -307,6 +307,50 @@ def test_quality(spark, odd):
     assert len(none) == 7 and sum(r["kept"] for r in none) == 5
 
 
+def test_word_model_equals_the_recurrence(spark):
+    rng = random.Random(14)
+    texts = [sentences(rng, EN + DE, 12) for _ in range(40)] + ["two words", "one"]
+    docs = docs_of(spark, texts).withColumn("row", F.col("doc_id"))
+    spelling = spark.sparkContext.broadcast(perplexity.train(docs))
+    values, weight = perplexity.word_values(docs, spelling)
+    new = [sentences(rng, EN + DE + ["unseen"], 15), texts[0], "one", "  "]
+    asked = docs_of(spark, new).withColumn("row", F.col("doc_id")).withColumn("trusted", F.lit(False))
+    got = {r["row"]: r["loss"] for r in perplexity.word_losses(asked, values, weight, spelling).collect()}
+    pad = lambda t: ["<s>"] * 3 + t.split() + ["</s>"]
+    level = Counter(tuple(w[i - 3 : i + 1]) for w in map(pad, texts) for i in range(3, len(w)))
+    levels = {4: level}
+    for k in (3, 2, 1):
+        level = levels[k] = Counter(g[1:] for g in level)
+    cuts = {}
+    for k, own in levels.items():
+        n = Counter(own.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else None
+        d = [0.5, 0.75, 0.9]
+        if y is not None:
+            d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 2 - 3 * y * n[3] / n[2]]
+            d = [min(max(v, 0.05), i + 0.95) for i, v in enumerate(d)]
+        cuts[k] = {g: min(d[min(c, 3) - 1], c) for g, c in own.items()}
+    spelt = lambda w: np.exp(-spelling.value.losses([w.replace("</s>", "") + " "])[0])
+
+    def p(g):
+        if not g:
+            return None
+        k = len(g)
+        same = [x for x in levels[k] if x[:-1] == g[:-1]]
+        below = p(g[1:]) if k > 1 else spelt(g[0])
+        if not same:
+            return below
+        total = sum(levels[k][x] for x in same)
+        return (levels[k].get(g, 0) - cuts[k].get(g, 0)) / total + sum(cuts[k][x] for x in same) / total * below
+
+    for i, t in enumerate(new):
+        w = pad(t)
+        assert got[i] == pytest.approx(-sum(np.log(p(tuple(w[j - 3 : j + 1]))) for j in range(3, len(w))), rel=1e-6)
+    # tables grow with the text: no class of characters bounds them
+    numbers = docs_of(spark, [" ".join(f"{i * 50 + j}" for j in range(50)) for i in range(40)])
+    assert perplexity.count_words(numbers, spelling).count() == 40 * 51
+
+
 # decontamination
 
 
