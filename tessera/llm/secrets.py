@@ -3,7 +3,8 @@
 A byte-pair vocabulary spends few tokens on words and many on random characters. Strings of
 letters, digits and the signs of base-64 that have few characters a token are taken for secrets
 of kind ``random``, after known digests (hexadecimal of digest lengths) and identifiers (UUIDs,
-dates, numbers, versions, addresses of mail, web and files) are set aside.
+dates, numbers, addresses of mail and web) are set aside. Only a whole address around a string sets it
+aside: of a web address that is host and path, not a password before the host nor the query.
 """
 
 from __future__ import annotations
@@ -17,13 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Covered, map_texts
+from .pii import _emails
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more: the longest match from its start
 _HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
-_STRING = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_PATH = r"(?:/[^\s?#\"'<>]*)?"
+_URL = re.compile(r"://([^\s/?#\"'<>@]*@)?([A-Za-z0-9.-]+(?::[0-9]+)?" + _PATH + ")")
+_HOST = re.compile(r"(?<![A-Za-z0-9_.-])(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,15}(?![A-Za-z0-9_+=-]|\.[A-Za-z0-9])" + _PATH)
 #: Fewer characters a token than this are a random string.
 RATIO = 2.1
 #: Lengths of the usual digests in hexadecimal: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
@@ -50,18 +55,25 @@ def _known(s: str) -> bool:
     return len({*s}) < 8  # rules and repeated signs
 
 
+def addresses(text: str) -> Covered:
+    """Mail addresses, hosts, and web addresses up to the query."""
+    urls = [*_URL.finditer(text)]
+    logins = Covered([("login", *m.span(1)) for m in urls if m[1]])  # no mail address, though it looks like one
+    out = [e for e in _emails(text) if not logins.meets(e[1], e[2])]
+    out += [("url", m.start(2) if m[1] else m.start(), m.end()) for m in urls]
+    out += [("host", m.start(), m.end()) for m in _HOST.finditer(text)]
+    return Covered(out)
+
+
 def random_spans(text: str, tokens: Callable[[str], int], ratio: float = RATIO) -> list[tuple[str, int, int]]:
     out = []
     for m in _STRING.finditer(text):
         s = m[0]
-        classes = (any(c.isdigit() for c in s)) + (any(c.islower() for c in s)) + (any(c.isupper() for c in s))
-        if classes < 2 or _known(s.strip("=-_/+")):
-            continue
-        before = text[m.start() - 1 : m.start()]
-        if before in ("@", ":", ".", "?", "&") or text[m.end() : m.end() + 1] == "@" or "://" in text[max(0, m.start() - 8) : m.start()]:
-            continue  # part of an address
-        if len(s) / tokens(s) < ratio:
+        if not _known(s.strip("=-_/+")) and len(s) / tokens(s) < ratio:
             out.append(("random", m.start(), m.end()))
+    if out:
+        known = addresses(text)
+        out = [r for r in out if not known.holds(r[1], r[2])]
     return out
 
 

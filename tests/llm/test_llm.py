@@ -1,5 +1,6 @@
 """The training-data operators against brute force, with the odd rows that each must bear."""
 
+import base64
 import hashlib
 import random
 import re
@@ -174,6 +175,22 @@ def test_known_digests_are_no_random_strings(spark):
         assert not secrets.random_spans(f"see {s} there", tokens)
 
 
+def test_random_strings_after_any_sign():
+    tokens = secrets.vocabulary(tokenizer_path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(15)
+    of = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    low, every = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    payload, signature = (base64.urlsafe_b64encode(t).decode().strip("=") for t in (b'{"sub":"1234567890","iat":1516239022}', rng.randbytes(32)))
+    for s, around in [(of(every, 40), "AccountKey:%s;"), (of(every, 32), "Bearer:%s"), (of(every, 40), "https://a.example.com/x?sv=1&s=%s"), (of(every, 30), "https://me:%s@example.com/x"), (of(low, 24), "see %s there"), (of(every, 16), "(%s)")]:
+        text = around % s
+        assert any(a <= text.index(s) and b >= text.index(s) + len(s) for _, a, b in secrets.random_spans(text, tokens)), text
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.{payload}.{signature}"
+    assert {jwt[a:b] for _, a, b in secrets.random_spans(jwt, tokens)} >= {payload, signature}
+    s = of(every, 24)
+    for text in (f"https://example.com/watch/{s}", f"{s}@example.com", f"{of(low, 24)}.example.com", "https://qzxjvkwpfhtbgmrd.example.com:80/"):
+        assert not secrets.random_spans(text, tokens), text
+
+
 def test_pii_base(spark, odd):
     text = "mail a.b@c.example.com, ip 10.0.0.255 not 10.0.0.256; card 4111 1111 1111 1111, no 4111 1111 1111 1112; call +1 (212) 555-0100."
     row = pii.pii_digest(docs_of(spark, [text])).first()
