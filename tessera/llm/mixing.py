@@ -24,6 +24,14 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 RANGE_ROWS, MOST_RANGES = 4096, 65_536
 
 
+def _size():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _source(docs: DataFrame):
+    return F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+
+
 def targets(sources: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """source, source_size and target, from source and source_size.
 
@@ -59,9 +67,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     are never taken. Repeated rows queue one after another; ties of the shuffle go by doc_id.
     An empty table gives no rows.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    sized = write_table(docs.select("doc_id", source.alias("source"), size.alias("size")), "sizes")
+    sized = write_table(docs.select("doc_id", _source(docs).alias("source"), _size().alias("size")), "sizes")
     n = sized.count()
     ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
     shuffled = sized.withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
@@ -87,11 +93,22 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
 def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix in order: the rows of ``docs`` that it takes, with ``taken`` and the virtual time.
 
-    The order is by virtual finish time over all sources (a range sort); a document that is taken
-    more than once stands once, with all its words in ``taken``. Needs unique doc_ids.
+    The order is by virtual finish time over all sources (a range sort); a row that is taken more
+    than once stands once, with all its words in ``taken``. Verdicts depend on doc_id, source and
+    size alone, so rows that agree in these (null ids too) are numbered on both sides, and each row
+    meets exactly one verdict.
     """
-    chosen = mixed.where("taken > 0").select("doc_id", "size", "source_size", "target", "taken", "virtual_finish")
-    return docs.join(chosen, "doc_id").orderBy("virtual_finish", "doc_id")
+    same = ["_id", "_source", "_size", "_nth"]
+
+    def numbered(df: DataFrame, source, size, order: list) -> DataFrame:
+        keyed = df.withColumns({"_id": F.col("doc_id"), "_source": source, "_size": size})
+        return keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(*order)))
+
+    left = numbered(docs, _source(docs), _size(), [F.xxhash64("text")])
+    right = numbered(mixed, F.col("source"), F.col("size"), ["virtual_finish", "taken"]).where("taken > 0")
+    right = right.select(*(F.col(c).alias(f"{c}_m") for c in same), "size", "source_size", "target", "taken", "virtual_finish")
+    on = [left[c].eqNullSafe(right[f"{c}_m"]) for c in same]
+    return left.join(right, on).drop(*same, *(f"{c}_m" for c in same)).orderBy("virtual_finish", "doc_id")
 
 
 SQL = r"""

@@ -32,3 +32,21 @@ def test_stages(spark):
     assert last.where("taken <= 0 or taken > 2 * size").count() == 0
     spread = last.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).where(F.abs(F.col("t") - F.col("g")) > 1)
     assert spread.count() == 0
+
+
+def test_run_bears_null_and_repeated_ids(spark, tmp_path):
+    docs = table(spark, SF, "documents").limit(60)
+    n = F.pmod(F.xxhash64("text"), F.lit(3))
+    docs = docs.withColumn("doc_id", F.when(n == 0, F.lit(None)).when(n == 1, F.lit(7)).otherwise(F.col("doc_id")))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = p.run(spark, str(tmp_path)).collect()
+    assert any(r["doc_id"] is None for r in rows) and sum(r["doc_id"] == 7 for r in rows) > 1
+    assert len({(r["doc_id"], r["text"]) for r in rows}) == len(rows)
+    taken, target = {}, {}
+    for r in rows:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["size"] == len(r["text"].split()) and 0 < r["taken"] <= 2 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in taken)
