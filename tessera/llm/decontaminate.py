@@ -2,7 +2,8 @@
 
 Test items are cut into word n-grams. Seeds are those whose words are together rare: the n-gram
 would be expected less than once by chance in a text of ordinary length, going by how often the
-words occur in the corpus (all documents are counted). A document and an item that share a seed
+words occur in the corpus (all documents are counted, a word once in each, so long copies don't make their
+own words common). An item with fewer rare n-grams than others keeps all of them. A document and an item that share a seed
 are aligned word by word, locally, around the places of the shared seeds; the score is the share
 of the item that the best alignment covers, so exact, edited and shortened copies are found.
 
@@ -99,9 +100,9 @@ class Items:
             chance = np.ones(len(g))
             for j in range(n):
                 chance *= p[j : len(g) + j]
-            rare = chance * ORDINARY < 1e-3
-            if not rare.any():  # an item of common words keeps its rarest seed
-                rare = chance == chance.min()
+            rare = chance * ORDINARY < 1
+            if 2 * rare.sum() < len(g):  # an item of common words, or one whose copies made them so
+                rare[:] = True
             at = np.flatnonzero(rare)
             grams.append(g[at]), owner.append(np.full(len(at), i)), place.append(at)
         cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
@@ -148,7 +149,7 @@ class Items:
 
 
 def _frequencies(docs: DataFrame, wanted: set[int]) -> dict[int, float]:
-    """The share of all words of the corpus that each of the items' words has."""
+    """The share of the corpus that each of the items' words has, words counted once a document."""
     sorted_ids = np.array(sorted(wanted), np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(sorted_ids)
 
@@ -158,7 +159,7 @@ def _frequencies(docs: DataFrame, wanted: set[int]) -> dict[int, float]:
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    h = hashes(t, cache)
+                    h = np.unique(hashes(t, cache))
                     every += len(h)
                     if len(ids):
                         at = np.minimum(np.searchsorted(ids, h), len(ids) - 1)

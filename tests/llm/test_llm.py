@@ -416,3 +416,19 @@ def test_decontamination(spark, odd):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {2, 3}
     assert decontaminate.contaminated(odd, bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_contamination_does_not_remove_its_seeds(spark):
+    rng = random.Random(16)
+    vocab = [f"word{i}" for i in range(500)]
+    item = [f"item{i}" for i in range(15)]
+    texts = [" ".join(item)] * 20 + [" ".join(rng.choice(vocab) for _ in range(60)) for _ in range(20)]
+    edited = []
+    for at in range(13):  # each edit breaks the three words of one seed
+        w = list(item)
+        w[at + 1] = "other"
+        edited.append(" ".join([*vocab[:20], *w, *vocab[20:40]]))
+    docs = docs_of(spark, texts + edited)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {*range(20), *range(40, 53)}
