@@ -5,7 +5,9 @@ around an entity make lexical patterns; patterns and the values they surround fo
 Spark scores it in rounds: a pattern's confidence in a kind is the share of its distinct values
 that are known to be of the kind, a value's score follows from the confidences of its patterns,
 and well-scored values count as known in the next round. Patterns of high confidence then mark
-identifiers that no fixed pattern covers.
+identifiers that no fixed pattern covers. Strings with four or more digits enter the graph first; the
+patterns that then have enough known values are applied to the texts again, and whatever stands at
+their place, digits or not, is a value too and counts for or against them.
 """
 
 from __future__ import annotations
@@ -25,9 +27,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # starts in
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Strings that may be identifiers, at least four digits in at most so many characters, end here.
-_END = re.compile(r"[\s\"'<>|,;]")
+#: A value: words around [at] and [dot], a run of words with digits, or one string.
+_PART = r"[^\s\"'<>|,;]+"
+_AT = re.compile(_PART + r"(?:\x20?[\[(](?:at|dot)[\])]\x20?" + _PART + ")+")
+_NUMBER = re.compile(r"[A-Za-z0-9().+/-]*[0-9][A-Za-z0-9().+/-]*")
+_TOKEN = re.compile(_PART)
+#: Longer strings are cut at the signs of addresses, and what is still longer into windows.
 LONGEST = 200
+_PIECE = re.compile(r"[^=&/?:()\[\]{}#]{1,200}")
 #: Confidence that a pattern needs, the known values it must surround, and the rounds.
 CONFIDENCE, SUPPORT, ROUNDS = 0.8, 8, 3
 
@@ -85,26 +92,52 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def _scan(text: str) -> tuple[list, list]:
-    """The base spans, and all strings that may be identifiers, with their contexts."""
+def _values(text: str) -> list[tuple[int, int]]:
+    """The places of all strings that may be identifiers, in order, in linear time."""
+    found = [m.span() for m in _TOKEN.finditer(text)]
+    joined = [m.span() for m in _AT.finditer(text)] if "at" in text and ("[" in text or "(" in text) else []
+    out, last, j = [], False, 0
+    for a, b in found:
+        while j < len(joined) and joined[j][1] <= a:
+            j += 1
+        if j < len(joined) and joined[j][0] <= a:
+            if not out or out[-1] != joined[j]:
+                out.append(joined[j])
+            last = False
+        elif b - a > LONGEST:
+            out += [m.span() for m in _PIECE.finditer(text, a, b)]
+            last = False
+        else:
+            number = bool(_NUMBER.fullmatch(text, a, b))
+            if number and last and a == out[-1][1] + 1 and text[a - 1] == " " and b - out[-1][0] <= LONGEST:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+            last = number
+    return [(a, a + len(text[a:b].rstrip(".:!?)*#$%&"))) for a, b in out]
+
+
+def _scan(text: str, patterns: frozenset[str] | None = None) -> tuple[list, list]:
+    """The base spans, and strings that may be identifiers, with their contexts.
+
+    These are strings with four or more digits; with ``patterns`` all others that one surrounds.
+    """
     base = base_spans(text)
     seen = []
-    if base or _DIGIT.search(text):
-        taken = Covered(base)
-        for k, a, b in base:
-            seen.append({"kind": k, "start": a, "end": b, "value": text[a:b], "patterns": contexts(text, a, b)})
-        m, done = _DIGIT.search(text), 0
-        while m:
-            # the string around the digit; each string is looked at once
-            head = text[max(done, m.start() - LONGEST) : m.start()]
-            a = m.start() - len(_END.split(head)[-1])
-            stop = _END.search(text, m.end())
-            done = stop.start() if stop else len(text)
-            if done - a <= LONGEST:
-                s = text[a:done].rstrip(".:!?)*#$%&")
-                if sum(map(str.isdigit, s)) >= 4 and not taken.meets(a, a + len(s)):
-                    seen.append({"kind": "", "start": a, "end": a + len(s), "value": s, "patterns": contexts(text, a, a + len(s))})
-            m = _DIGIT.search(text, done)
+    if patterns is None:
+        seen = [{"kind": k, "start": a, "end": b, "value": text[a:b], "patterns": contexts(text, a, b)} for k, a, b in base]
+        if not _DIGIT.search(text):
+            return [{"kind": k, "start": a, "end": b} for k, a, b in base], seen
+    elif not patterns:
+        return [], []
+    taken = Covered(base)
+    for a, b in _values(text):
+        s = text[a:b]
+        digits = len(_DIGIT.findall(s)) >= 4
+        if b > a and digits == (patterns is None) and not taken.meets(a, b):
+            own = contexts(text, a, b)
+            if patterns is None or not patterns.isdisjoint(own):
+                seen.append({"kind": "", "start": a, "end": b, "value": s, "patterns": own if patterns is None else [p for p in own if p in patterns]})
     return [{"kind": k, "start": a, "end": b} for k, a, b in base], seen
 
 
@@ -136,16 +169,30 @@ def find_pii(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUP
     doc_id and text have the same.
     """
 
-    def make():
-        def fn(texts: list[str]) -> dict:
-            got = [_scan(t) for t in texts]
-            return {"key": [str(xxhash.xxh3_128_hexdigest(t.encode("utf-8", "surrogatepass"))) for t in texts], "base": [g[0] for g in got], "strings": [g[1] for g in got]}
+    def make_with(patterns):
+        def make():
+            own = None if patterns is None else patterns.value
+
+            def fn(texts: list[str]) -> dict:
+                got = [_scan(t, own) for t in texts]
+                key = [str(xxhash.xxh3_128_hexdigest(t.encode("utf-8", "surrogatepass"))) for t in texts]
+                return {"key": key} | ({"base": [g[0] for g in got]} if own is None else {}) | {"strings": [g[1] for g in got]}
+
+            return fn
 
-        return fn
+        return make
 
     span = "struct<kind: string, start: long, end: long>"
-    scanned = write_table(map_texts(docs, f"doc_id long, key string, base array<{span}>, strings array<struct<kind: string, start: long, end: long, value: string, patterns: array<string>>>", make), "scan")
-    every = scanned.where(F.size("strings") > 0).select("key", F.explode("strings").alias("s")).select("key", "s.*")
+    strings = "strings array<struct<kind: string, start: long, end: long, value: string, patterns: array<string>>>"
+    scanned = write_table(map_texts(docs, f"doc_id long, key string, base array<{span}>, {strings}", make_with(None)), "scan")
+    each = lambda df: df.where(F.size("strings") > 0).select("key", F.explode("strings").alias("s")).select("key", "s.*")
+    first = each(scanned)
+    # only patterns with enough known values can be trusted: those of seeds, and of what these lead to
+    seeded = first.where("kind <> ''").select("value", F.explode("patterns").alias("pattern")).distinct().groupBy("pattern").count().where(F.col("count") >= support)
+    able = seeded.select("pattern").union(bootstrap(first, confidence, support, rounds).select("pattern")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["pattern"] for r in able.collect()))
+    others = write_table(map_texts(docs, f"doc_id long, key string, {strings}", make_with(shared)), "others")
+    every = first.unionByName(each(others))
     trusted = bootstrap(every, confidence, support, rounds)
     fresh = every.where("kind = ''").select("key", "start", "end", F.explode("patterns").alias("pattern"))
     fresh = fresh.join(trusted.withColumnRenamed("kind", "as"), "pattern")

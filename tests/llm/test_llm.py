@@ -230,6 +230,17 @@ def test_pii_bootstraps_contexts(spark):
     assert more == {80: [("like_phone", 19, 27)]}
 
 
+def test_pii_patterns_find_values_of_any_kind(spark):
+    texts = [f"write to mailbox user{i}@host.example.com today" for i in range(40)]
+    texts += [f"please call number +1 212 555 {i:04d} now" for i in range(40)]
+    new = ["write to mailbox jane [at] host today", "write to mailbox somebody today", "please call number 555 123 4567 now"]
+    rows = pii.find_pii(docs_of(spark, texts + new)).collect()
+    got = {r["doc_id"] - 80: {(new[r["doc_id"] - 80][s["start"] : s["end"]], s["kind"]) for s in r["more"]} for r in rows if r["more"]}
+    assert got == {0: {("jane [at] host", "like_email")}, 1: {("somebody", "like_email")}, 2: {("555 123 4567", "like_phone")}}
+    long = "x" * 300 + "?id=12345678&" + "y" * 300
+    assert "12345678" in {s["value"].split("=")[-1] for s in pii._scan(long)[1]}
+
+
 # mixing
 
 
