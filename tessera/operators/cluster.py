@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Centroids that are broadcast at once.
+BLOCK = 10_000
+
+
 def as_vectors(df: DataFrame, column: str) -> DataFrame:
     return df.select(array_to_vector(F.transform(column, lambda x: x.cast("double"))).alias("features"))
 
@@ -26,10 +30,16 @@ def squared_distance(a: Column, b: Column) -> Column:
 def cost(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """The sum of squared distances of points (``id``, ``v``) to their nearest centroids (``v``).
 
-    Centroids are few by nature (k); the join is a nested loop over a broadcast of at most 10,000.
+    The join is a nested loop over broadcast blocks of about ``BLOCK`` centroids, all in turn.
     """
-    near = points.crossJoin(F.broadcast(centroids.select(F.col("v").alias("c")).limit(10_000)))
-    best = near.groupBy("id").agg(F.min(squared_distance(F.col("v"), F.col("c"))).alias("d"))
+    c = centroids.select(F.col("v").alias("c"))
+    blocks = max(1, -(-c.count() // BLOCK))
+    best = None
+    for i in range(blocks):
+        block = c.where(F.pmod(F.xxhash64("c"), F.lit(blocks)) == i) if blocks > 1 else c
+        near = points.crossJoin(F.broadcast(block)).groupBy("id").agg(F.min(squared_distance(F.col("v"), F.col("c"))).alias("d"))
+        best = near if best is None else best.unionByName(near)
+    best = best.groupBy("id").agg(F.min("d").alias("d")) if blocks > 1 else best
     return best.agg(F.sum("d").alias("cost"))
 
 

@@ -173,3 +173,9 @@ def test_kmeans_cost(spark):
     assert model.summary.trainingCost == pytest.approx(10.0)
     centroids = spark.createDataFrame([([1.0],), ([12.0],)], "v array<double>")
     assert cluster.cost(points, centroids).first()[0] == pytest.approx(10.0)
+
+
+def test_cost_takes_all_centroids(spark):
+    points = spark.createDataFrame([(1, [10_500.0]), (2, [3.0])], "id long, v array<double>")
+    centroids = spark.range(10_501).select(F.array(F.col("id").cast("double")).alias("v"))
+    assert cluster.cost(points, centroids).first()["cost"] == 0
