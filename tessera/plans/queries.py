@@ -119,9 +119,9 @@ def als_rmse(spark, sf):
 
 @query
 def als_rmse_sweep(spark, sf):
-    """Two ranks and two weights; the operator's own defaults sweep 54 fits."""
+    """All 54 fits of the operator's defaults."""
     train, test = recommend.hash_split(inputs.ratings(spark, sf))
-    return recommend.als_sweep(train, test, (5, 10), (0.1, 1.0), (2, 4))
+    return recommend.als_sweep(train, test)
 
 
 def _sets(spark, sf):
@@ -301,8 +301,8 @@ def standardized_vectors(spark, sf):
 
 @query
 def kmeans_cost_sweep(spark, sf):
-    """Three sizes and both ways to begin; the operator's own default sweeps 2 to 20."""
-    return cluster.cost_sweep(cluster.as_vectors(parquet(spark, sf, "embeddings"), "embedding"), (2, 5, 10))
+    """Sizes 2 to 20 and both ways to begin."""
+    return cluster.cost_sweep(cluster.as_vectors(parquet(spark, sf, "embeddings"), "embedding"))
 
 
 @query

@@ -179,3 +179,18 @@ def test_cost_takes_all_centroids(spark):
     points = spark.createDataFrame([(1, [10_500.0]), (2, [3.0])], "id long, v array<double>")
     centroids = spark.range(10_501).select(F.array(F.col("id").cast("double")).alias("v"))
     assert cluster.cost(points, centroids).first()["cost"] == 0
+
+
+def test_sweeps_are_registered_whole(monkeypatch):
+    from tessera.plans import queries
+
+    calls = []
+    monkeypatch.setattr(queries.recommend, "als_sweep", lambda *a, **k: calls.append((len(a), k)))
+    monkeypatch.setattr(queries.recommend, "hash_split", lambda *a: (None, None))
+    monkeypatch.setattr(queries.cluster, "cost_sweep", lambda *a, **k: calls.append((len(a), k)))
+    monkeypatch.setattr(queries.cluster, "as_vectors", lambda *a: None)
+    monkeypatch.setattr(queries.inputs, "ratings", lambda *a: None)
+    monkeypatch.setattr(queries, "parquet", lambda *a: None)
+    queries.als_rmse_sweep(None, None)
+    queries.kmeans_cost_sweep(None, None)
+    assert calls == [(2, {}), (1, {})]
