@@ -23,11 +23,14 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is made once.
+    Where a session on one machine names none (tests), a temporary folder is made once; on a cluster
+    it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="tessera-")
@@ -42,7 +45,33 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path, None
+    return out
+
+
+def write_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """The same, bucketed by ``key``: groups and joins by it read their buckets without a shuffle.
+
+    For contents that are compressed already.
+    """
+    spark = df.sparkSession
+    name = f"tessera_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "uncompressed").saveAsTable(name)
+    out = spark.table(name)
+    out._written = path, name
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        spark, (path, name) = df.sparkSession, df._written
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,14 +1,18 @@
 """A quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model runs over words, order 4. All n-grams of trusted text are counted in tables that grow
-with the text and stay spread over the cluster; joins by context and by suffix give continuation
-counts, discounts and interpolation weights. With f(g) = log p(g) - log(weight of g's context) -
-log p(g's suffix) for a counted n-gram, a text's log-probability is the sum, over its n-grams of all
-orders, of f where they are counted and of the log of their weight as contexts. So one join of the
-documents' distinct n-grams with a table of such values, summed by document, scores everything.
-
-Words that trusted text lacks are spelt by a small model of the same kind over 64 classes of
-characters; it is the base of the word model, has at most 2^24 entries, and is broadcast.
+The model runs over characters, order 5. A character is the last 12 bits of its code point, so all
+scripts below U+1000 are told apart, and an n-gram is a number of up to 60 bits. All n-grams of
+trusted text are counted in tables that grow with the text and stay spread over the cluster; joins
+by context and by suffix give continuation counts, discounts and interpolation weights. With
+v(g) = log p(g) - log(weight of g's context) - log p(g's suffix) for a counted n-gram, a text's
+log-probability is the sum, over its n-grams of all orders, of v where they are counted and of the
+log of their weight as contexts.
+
+Texts are packed once, compressed, into blocks of bounded size, in a table bucketed by block, so
+that text is never shuffled. Each block asks for its distinct n-grams, dealt into shards by key;
+a shard of questions meets the same shard of the counts' values, and the answers of all shards meet
+the block, which then scores its documents. So the joins carry distinct n-grams of blocks, not
+positions of documents, and no table passes through the driver.
 
 A trusted document is scored as if it weren't counted: n-grams that it alone holds are unseen.
 
@@ -20,80 +24,166 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, slices, write_table
+from .common import drop_tables, write_bucketed, write_table
 
-ORDER, BITS = 4, 6
+ORDER, BITS = 5, 12
 CLASSES = 1 << BITS
+#: Bytes of text that a block holds, about; characters that are worked on at once.
+BLOCK, SLICE = 32_000_000, 1_000_000
 #: Quantiles of trusted perplexities, and how much further out, in log-perplexity, a text may be.
 UPPER, LOWER, MARGIN = 0.98, 0.01, 0.12
 #: A text's mean is drawn to its language's as if it had so many more characters.
 PRIOR = 40
-#: A table with more languages than this is joined by shuffle, not broadcast.
-MOST_SENT = 10_000
-
-_OTHER, _UPPER, _DIGIT, _SPACE, _LINE, _MARK = 1, 2, 3, 4, 5, 6
-_PUNCTUATION = ".,;:!?'\"-()|/"
-
-
-def _class_table() -> np.ndarray:
-    """The class of each code point: letters of ASCII each; upper case, digits and white space as
-    one; some punctuation each, other marks as one; letters beyond ASCII by their last bits."""
-    out = np.full(0x110000, _OTHER, np.uint8)
-    out[:128] = _MARK
-    for c in range(26):
-        out[97 + c], out[65 + c] = 8 + c, _UPPER
-    out[48:58] = _DIGIT
-    out[[9, 11, 12, 13, 32]] = _SPACE
-    out[10] = _LINE
-    for i, c in enumerate(_PUNCTUATION):
-        out[ord(c)] = 34 + i
-    beyond = np.arange(0xC0, 0x110000)
-    out[0xC0:] = 48 + beyond % 16
-    return out
 
 
-_CLASS = _class_table()
+def _low(order: int) -> int:
+    return (1 << (BITS * order)) - 1
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each character, all texts in a row, and the lengths of the texts.
 
-    Before a text stands class 0.
+    Before a text stands character 0.
     """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    code = _CLASS[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
-    row = np.repeat(np.arange(len(texts)), lengths)
-    out = code.astype(np.uint32)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & (CLASSES - 1)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out = code.copy()
     for k in range(1, ORDER):
-        back = np.zeros(len(code), np.uint32)
-        back[k:] = np.where(row[k:] == row[:-k], code[:-k], 0)
-        out |= back << np.uint32(BITS * k)
+        out[k:] |= np.where(place[k:] >= k, code[:-k], 0) << (BITS * k)
     return out, lengths
 
 
-def count_grams(trusted: DataFrame) -> DataFrame:
-    """gram and its count over all texts."""
+def keys_of(top: np.ndarray) -> np.ndarray:
+    """Sorted keys of all n-grams and contexts that distinct n-grams of the highest order hold.
+
+    A key has its order above its 60 bits.
+    """
+    out = [np.arange(1, ORDER) << 60]  # the contexts at the start of a text
+    for k in range(ORDER, 0, -1):
+        top = np.unique(top & _low(k))
+        out.append(top | (k << 60))
+    return np.unique(np.concatenate(out))
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
+
+
+def _unpack(packed: bytes, *kinds) -> list[np.ndarray]:
+    raw = zstandard.decompress(packed)
+    n, out, at = len(raw) // sum(np.dtype(k).itemsize for k in kinds), [], 0
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
+
+
+def packed_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """block, its doc_ids, and its rows (doc_id, lang, text) as a compressed Arrow stream."""
 
     def run(batches):
-        total = None
+        from pyspark import TaskContext
+
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+        at, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def row():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_table(rows)
+            ids = pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([at]), ids, pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "ids", "rows"])
+
         for b in batches:
-            texts = [t for t in b.column(0).to_pylist() if t]
-            for s in range(0, len(texts), 256):
-                got, n = np.unique(grams(texts[s : s + 256])[0], return_counts=True)
-                if total is None:
-                    total = np.zeros(1 << (BITS * ORDER), np.int64)
-                total[got] += n
-        if total is not None:
-            at = np.flatnonzero(total)
-            for s in range(0, len(at), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(at[s : s + 50_000]), pa.array(total[at[s : s + 50_000]])], names=["gram", "n"])
+            for i in range(0, b.num_rows, 256):
+                held.append(b.slice(i, 256))
+                size += held[-1].get_total_buffer_size() * held[-1].num_rows // max(1, b.num_rows) if b.num_rows <= 256 else held[-1].nbytes
+                if size >= block:
+                    yield row()
+                    at, held, size = at + 1, [], 0
+        if held:
+            yield row()
+
+    return docs.mapInArrow(run, "block long, ids array<long>, rows binary")
+
+
+def _texts(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(rows).read_all()
+
+
+def _slices(texts: list[str | None]):
+    """Runs of texts of about SLICE characters: first index and the texts, null as empty."""
+    start, held, size = 0, [], 0
+    for t in texts:
+        if held and size + len(t or "") > SLICE:
+            yield start, held
+            start, held, size = start + len(held), [], 0
+        held.append(t or "")
+        size += len(t or "")
+    if held:
+        yield start, held
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and the sums of their counts."""
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(parts) == 1:
+        return parts[0]
+    gram, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return gram, np.bincount(at, np.concatenate([p[1] for p in parts]), len(gram)).astype(np.int64)
+
+
+def _ask(shards: int):
+    """A block's distinct keys in each shard, and its trusted rows' counts (shard -1)."""
+
+    def run(key, block: pa.Table, trusted: pa.Table) -> pa.Table:
+        own = np.zeros(0, bool)
+        parts, counts = [], []
+        for packed in block.column("rows").to_pylist():
+            texts = _texts(packed).column("text").to_pylist()
+            own = np.zeros(len(texts), bool)
+            for at in trusted.column("at").to_pylist():
+                own[at] = True
+            for first, held in _slices(texts):
+                good = own[first : first + len(held)]
+                g, n = np.unique(grams([t for t, ok in zip(held, good, strict=True) if ok])[0], return_counts=True)
+                counts.append((g, n))
+                if not good.all():
+                    g = np.union1d(g, grams([t for t, ok in zip(held, good, strict=True) if not ok])[0])
+                parts.append(g)
+                if len(parts) >= 16:
+                    parts, counts = [np.unique(np.concatenate(parts))], [_merged(counts)]
+        top = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+        keys = keys_of(top)
+        of = keys % shards
+        order = np.argsort(of, kind="stable")
+        found, starts = np.unique(of[order], return_index=True)
+        asked = [_pack(np.diff(k, prepend=0)) for k in np.split(keys[order], starts[1:])]
+        gram, n = _merged(counts)
+        ids = [key[0].as_py()] * (len(found) + 1)
+        return pa.table({"block": pa.array(ids, pa.int64()), "shard": pa.array([*found.tolist(), -1], pa.int64()), "keys": pa.array([*asked, _pack(gram, n)], pa.binary())})
+
+    return run
+
+
+def unpacked_counts(asked: DataFrame) -> DataFrame:
+    """gram and n, its count over all trusted text."""
 
-    trusted.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    return trusted.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    def run(batches):
+        for b in batches:
+            for packed in b.column(0).to_pylist():
+                gram, n = _unpack(packed, np.int64, np.int64)
+                for s in range(0, len(gram), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[s : s + 100_000]), pa.array(n[s : s + 100_000])], names=["gram", "n"])
+
+    return asked.where("shard = -1").select("keys").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discount(counts: DataFrame):
@@ -108,195 +198,198 @@ def _discount(counts: DataFrame):
     return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
 
-def _order(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """(gram, alpha) and (context, gamma) of one order.
+def model_values(counts: DataFrame) -> tuple[DataFrame, float, list[DataFrame]]:
+    """What a text's n-grams add to its log-probability, and the weight of the uniform base.
 
-    ``alpha`` is the discounted share of the gram in its context, ``gamma`` what the discounts leave
-    to the lower order.
-    """
-    cut = _discount(counts)
-    shared = counts.withColumn("context", F.shiftright("gram", BITS)).withColumn("cut", F.least(cut, F.col("n").cast("double")))
-    context = shared.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"))
-    alpha = shared.join(context, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("alpha"))
-    return alpha, context.select("context", (F.col("cuts") / F.col("total")).alias("gamma"))
-
-
-class CharModel:
-    """Log-probabilities of all n-grams, spread out from the tables of each order."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.tables = tables
-        self._log: np.ndarray | None = None
-
-    def log(self) -> np.ndarray:
-        if self._log is None:
-            p = np.full(1, 1 / CLASSES, np.float32)
-            for order, (gram, alpha, context, gamma) in enumerate(self.tables, 1):
-                left = np.ones(1 << (BITS * (order - 1)), np.float32)
-                left[context] = gamma
-                lower = np.broadcast_to(p, (CLASSES,)) if order == 1 else p
-                # the lower order's gram is this one's without its first class
-                p = np.repeat(left, CLASSES) * np.tile(lower, (1 << (BITS * order)) // len(lower))
-                p[gram] += alpha
-            self._log = np.log(np.maximum(p, 1e-9), out=p)
-        return self._log
-
-    def __getstate__(self):
-        return {"tables": self.tables, "_log": None}
-
-    def losses(self, texts: list[str]) -> np.ndarray:
-        """The sum of -log p over the characters of each text."""
-        got, lengths = grams(texts)
-        ends = np.cumsum(lengths)
-        total = np.concatenate([[0], np.cumsum(self.log()[got], dtype=np.float64)])
-        return -(total[ends] - total[ends - lengths])
-
-
-def train(trusted: DataFrame) -> CharModel:
-    """Fit the spelling model to all trusted texts; at most 2^24 entries reach the driver."""
-    counts = write_table(count_grams(trusted), "grams")
-    tables = []
-    for order in range(ORDER, 0, -1):
-        alpha, gamma = _order(counts, order)
-        a, g = alpha.toPandas(), gamma.toPandas()
-        tables.append((a["gram"].to_numpy(np.int64), a["alpha"].to_numpy(np.float32), g["context"].to_numpy(np.int64), g["gamma"].to_numpy(np.float32)))
-        # below the highest order, a gram counts the distinct classes that stand before it
-        if order > 1:
-            counts = write_table(counts.groupBy(F.col("gram").bitwiseAND((1 << (BITS * (order - 1))) - 1).alias("gram")).agg(F.count("*").alias("n")), "grams")
-    return CharModel(tables[::-1])
-
-
-#: Words of an n-gram; what stands before and after a text.
-WORDS = 4
-_START, _STOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_MIX = np.uint64(0xFF51AFD7ED558CCD)
-#: Columns of a counted position: the n-grams that end there, their contexts, the spelling's loss.
-_COUNTED = [f"g{k}" for k in range(WORDS, 0, -1)] + [f"c{k}" for k in range(WORDS - 1, 0, -1)]
-
-
-class _Words(dict):
-    """Hash and spelling loss of words."""
-
-    def __init__(self, spelling: CharModel):
-        self.spelling = spelling
-
-    def look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > 500_000:
-            self.clear()
-        new = list({w for w in words if w not in self})
-        if new:
-            for w, loss in zip(new, self.spelling.losses([w + " " for w in new]).tolist(), strict=True):
-                self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), loss
-        got = [self[w] for w in words]
-        return np.array([g[0] for g in got], np.uint64), np.array([g[1] for g in got], np.float64)
-
-
-def word_grams(text: str, words: _Words) -> tuple[list[np.ndarray], np.ndarray]:
-    """The n-grams of order 1 to 4 that end at each place, and the spelling's losses.
-
-    The places are the last start sign, the words, and the stop sign. The highest order has no
-    n-gram at the start sign (0).
+    key, value and raw (occurrences) as an n-gram, weight (its log) and raw_c as a context. The
+    third result are tables to drop when the first is no longer read.
     """
-    h, loss = words.look([*text.split(), ""])  # the stop sign is the word without letters
-    h = np.concatenate([np.full(WORDS - 1, _START), h[:-1], [_STOP]])
-    out = [h]
-    for k in range(1, WORDS):
-        g = (np.concatenate([[np.uint64(0)], out[-1][:-1]]) ^ np.uint64(k)) * _MIX
-        g = ((g ^ (g >> np.uint64(29))) + h) * _MIX
-        out.append(g ^ (g >> np.uint64(32)))
-    out = [g[WORDS - 2 :] for g in out]
-    out[-1][0] = 0
-    return out, np.concatenate([[0.0], loss])
-
-
-def _batched(df: DataFrame, run, schema: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
-
-
-def count_words(trusted: DataFrame, spelling) -> DataFrame:
-    """Each n-gram of the highest order with its count ``n``, its suffixes, and their contexts."""
-
-    def run(batches):
-        words = _Words(spelling.value)
-        for b in batches:
-            texts = [t for t in b.column(0).to_pylist() if t]
-            for i, j in slices(texts, 1_000_000):
-                cols, base = [], []
-                for t in texts[i:j]:
-                    g, loss = word_grams(t, words)
-                    cols.append(np.stack([x[1:] for x in g[::-1]] + [x[:-1] for x in g[-2::-1]]))
-                    base.append(loss[1:])
-                every, base = np.concatenate(cols, axis=1).view(np.int64), np.concatenate(base)
-                _, first, n = np.unique(every[0], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[first]) for c in every), pa.array(base[first]), pa.array(n)], names=[*_COUNTED, "base", "n"])
-
-    rows = _batched(trusted.select("text"), run, ", ".join(f"{c} long" for c in _COUNTED) + ", base double, n long")
-    return rows.groupBy("g4").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in [*_COUNTED[1:], "base"])).withColumn("raw", F.col("n"))
-
-
-def word_values(trusted: DataFrame, spelling) -> tuple[DataFrame, float]:
-    """key, value and raw (its count) of each n-gram and context, and the weight of the spelling."""
-    counts, tables = write_table(count_words(trusted, spelling), "words"), []
-    for k in range(WORDS, 0, -1):
+    tables, made = [], []
+    counts = write_table(counts.withColumn("raw", F.col("n")), "counts")
+    for k in range(ORDER, 0, -1):
         tables.append(counts)
-        if k > 1:  # below the highest order, an n-gram counts the distinct words before it
-            rest = [c for c in counts.columns if c not in (f"g{k}", f"c{k - 1}", f"g{k - 1}", "n", "raw")]
-            counts = write_table(counts.groupBy(f"g{k - 1}").agg(F.count("*").alias("n"), F.sum("raw").alias("raw"), *(F.first(c).alias(c) for c in rest)), "words")
-    weight, lower, out = 1.0, None, None
+        if k > 1:  # below the highest order, an n-gram counts the distinct characters before it
+            lower = F.col("gram").bitwiseAND(F.lit(_low(k - 1))).alias("gram")
+            counts = write_table(counts.groupBy(lower).agg(F.count("*").alias("n"), F.sum("raw").alias("raw")), "counts")
+    made += tables
+    base, lower, out = 1.0, None, []
     for k, counts in enumerate(tables[::-1], 1):
-        cut = F.least(_discount(counts), F.col("n").cast("double"))
-        counts = counts.withColumn("cut", cut)
+        counts = counts.withColumn("cut", F.least(_discount(counts), F.col("n").cast("double")))
         sums = [F.sum("n").alias("total"), F.sum("cut").alias("cuts"), F.sum("raw").alias("raw_c")]
         if k == 1:
             every = counts.agg(*sums).first()
-            weight = every["cuts"] / every["total"] if every["total"] else 1.0
-            p = (F.col("n") - F.col("cut")) / F.lit(float(every["total"] or 1)) + F.lit(weight) * F.exp(-F.col("base"))
-            value, found = F.log("p") - F.lit(float(np.log(weight))) + F.col("base"), counts.withColumn("p", p)
+            base = every["cuts"] / every["total"] if every["total"] else 1.0
+            p = (F.col("n") - F.col("cut")) / F.lit(float(every["total"] or 1)) + F.lit(base / CLASSES)
+            value, found = F.log("p") - F.lit(float(np.log(base / CLASSES))), counts.withColumn("p", p)
         else:
-            contexts = write_table(counts.groupBy(f"c{k - 1}").agg(*sums).withColumn("gamma", F.col("cuts") / F.col("total")), "contexts")
-            found = counts.join(contexts, f"c{k - 1}").join(lower.withColumnsRenamed({"key": f"g{k - 1}", "p": "q"}).select(f"g{k - 1}", "q"), f"g{k - 1}")
+            at = F.shiftright("gram", BITS).alias("context")
+            contexts = write_table(counts.groupBy(at).agg(*sums).withColumn("gamma", F.col("cuts") / F.col("total")), "contexts")
+            found = counts.withColumn("context", F.shiftright("gram", BITS)).join(contexts, "context")
+            found = found.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(_low(k - 1)))).join(lower, "suffix")
             found = found.withColumn("p", (F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("q"))
             value = F.log("p") - F.log("gamma") - F.log("q")
-            out = out.unionByName(contexts.select(F.col(f"c{k - 1}").alias("key"), F.log("gamma").alias("value"), F.col("raw_c").alias("raw")))
-        lower = write_table(found.select(F.col(f"g{k}").alias("key"), value.alias("value"), "raw", "p"), "values")
-        rows = lower.select("key", "value", "raw")
-        out = rows if out is None else out.unionByName(rows)
-    return out.groupBy("key").agg(F.sum("value").alias("value"), F.max("raw").alias("raw")), float(weight)
-
-
-def word_losses(docs: DataFrame, values: DataFrame, weight: float, spelling) -> DataFrame:
-    """row and ``loss``, the sum of -log p over the words and the stop sign of each text."""
-
-    def run(batches):
-        words = _Words(spelling.value)
-        for b in batches:
-            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if text:
-                    grams, loss = word_grams(text, words)
-                    keys, n = np.unique(np.concatenate(grams).view(np.int64), return_counts=True)
-                    # key 0 is no n-gram: it brings what all words cost when none is counted
-                    base = np.where(keys == 0, loss.sum() - (len(loss) - 1) * np.log(weight), 0.0)
-                    for s in range(0, len(keys), 50_000):
-                        part = slice(s, s + 50_000)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), row)), pa.array(keys[part]), pa.array(n[part]), pa.array(base[part])], names=["row", "key", "c", "base"])
-
-    asked = _batched(docs.select("row", "text"), run, "row long, key long, c long, base double")
-    own = docs.where("trusted").select(F.col("row").alias("own"))
-    got = asked.join(values, "key", "left").groupBy("row").agg(
-        F.sum("base").alias("base"),
-        F.coalesce(F.sum(F.col("c") * F.col("value")), F.lit(0.0)).alias("seen"),
-        # what a trusted text leaves when its own counts are taken out
-        F.coalesce(F.sum(F.when(F.col("raw") > F.col("c"), F.col("c") * F.col("value"))), F.lit(0.0)).alias("others"),
-    )
-    got = got.join(own.hint("merge"), got["row"] == own["own"], "left")
-    return got.select("row", (F.col("base") - F.when(F.col("own").isNull(), F.col("seen")).otherwise(F.col("others"))).alias("loss"))
-
-
-def _by_language(df: DataFrame, label: str) -> DataFrame:
-    """A row for each language (``l``), written, and broadcast if its rows are few."""
-    written = write_table(df.withColumnRenamed("lang", "l"), label)
-    return F.broadcast(written) if written.count() <= MOST_SENT else written
+            made.append(contexts)
+            out.append(contexts.select(F.col("context").bitwiseOR(F.lit((k - 1) << 60)).alias("key"), F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("raw"), F.log("gamma").alias("weight"), "raw_c"))
+        found = write_table(found.select("gram", value.alias("value"), "raw", "p"), "values")
+        made.append(found)
+        out.append(found.select(F.col("gram").bitwiseOR(F.lit(k << 60)).alias("key"), "value", "raw", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("raw_c")))
+        lower = found.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("value", "raw", "weight", "raw_c"))), float(base), made
+
+
+_ANSWER = (np.int64, np.float32, np.float32, np.int32, np.int32)
+
+
+def _answer(key, asked: pa.Table, values: pa.Table) -> pa.Table:
+    """One shard: for each block that asks, the keys that are counted, with their values."""
+    order = np.argsort(values.column("key").to_numpy(), kind="stable")
+    held = [values.column(c).to_numpy()[order] for c in ("key", "value", "weight", "raw", "raw_c")]
+    most = np.iinfo(np.int32).max
+    held = [held[0], *(v.astype(np.float32) for v in held[1:3]), *(np.minimum(v, most).astype(np.int32) for v in held[3:])]
+    out = []
+    for packed in asked.column("keys").to_pylist():
+        keys = np.cumsum(_unpack(packed, np.int64)[0])
+        at = np.searchsorted(held[0], keys)
+        at[at == len(held[0])] = 0
+        hit = at[held[0][at] == keys] if len(held[0]) else at[:0]
+        out.append(_pack(np.diff(held[0][hit], prepend=0), *(v[hit] for v in held[1:])))
+    return pa.table({"block": asked.column("block"), "answers": pa.array(out, pa.binary())})
+
+
+class Scorer:
+    """The answers to a block, ready to score its documents."""
+
+    def __init__(self, answers: list[bytes], top: np.ndarray):
+        got = [_unpack(a, *_ANSWER) for a in answers]
+        key = np.concatenate([np.empty(0, np.int64), *(np.cumsum(g[0]) for g in got)])
+        order = np.argsort(key, kind="stable")
+        # a last row stands for keys that are not counted
+        self.key = np.append(key[order], np.iinfo(np.int64).max)
+        columns = [np.append(np.concatenate([np.empty(0, k), *(g[i] for g in got)])[order], 0) for i, k in enumerate(_ANSWER[1:], 1)]
+        self.value, self.weight, self.raw, self.raw_c = columns
+        self.top = top
+        #: For each n-gram of the highest order: rows of its suffixes, and of their contexts.
+        self.suffix = [self._find((top & _low(k)) | (k << 60)) for k in range(1, ORDER + 1)]
+        self.context = [self._find(((top & _low(k)) >> BITS) | ((k - 1) << 60)) for k in range(2, ORDER + 1)]
+        self.total = sum(self.value[s].astype(np.float64) for s in self.suffix) + sum(self.weight[c].astype(np.float64) for c in self.context)
+        # a table of places makes look-ups cheap; what it doesn't hold is searched
+        self.shift = np.uint64(64 - max(10, int(len(top)).bit_length() + 2))
+        self.place = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.place[self._slot(top)] = np.arange(len(top))
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.key, keys)
+        return np.where(self.key[at] == keys, at, len(self.key) - 1)
+
+    def _slot(self, gram: np.ndarray) -> np.ndarray:
+        return (gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def rows(self, gram: np.ndarray) -> np.ndarray:
+        at = self.place[self._slot(gram)].astype(np.int64)
+        other = np.flatnonzero(self.top[at] != gram)
+        at[other] = np.searchsorted(self.top, gram[other])
+        return at
+
+    def own(self, rows: np.ndarray) -> float:
+        """What n-grams add whose occurrences are all in this document."""
+        out = 0.0
+        for tables, raw, value in ((self.suffix, self.raw, self.value), (self.context, self.raw_c, self.weight)):
+            for table in tables:
+                at = table[rows]
+                # few occurrences anywhere: only these can all be here
+                at = at[(raw[at] > 0) & (raw[at] <= len(rows))]
+                found, n = np.unique(at, return_counts=True)
+                alone = raw[found] <= n
+                out += float((value[found[alone]].astype(np.float64) * n[alone]).sum())
+        return out
+
+
+def _score(base: float):
+    def run(key, block: pa.Table, answers: pa.Table, trusted: pa.Table) -> pa.Table:
+        ids, langs, sizes, losses, own_ = [], [], [], [], []
+        got = answers.column("answers").to_pylist()
+        for packed in block.column("rows").to_pylist():
+            rows = _texts(packed)
+            texts = rows.column("text").to_pylist()
+            own = np.zeros(len(texts), bool)
+            for at in trusted.column("at").to_pylist():
+                own[at] = True
+            parts = []
+            for _, held in _slices(texts):
+                parts.append(np.unique(grams(held)[0]))
+                if len(parts) >= 16:
+                    parts = [np.unique(np.concatenate(parts))]
+            scorer = Scorer(got, np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64))
+            for first, held in _slices(texts):
+                g, lengths = grams(held)
+                at = scorer.rows(g) if len(g) else g
+                total = np.concatenate([[0.0], np.cumsum(scorer.total[at])])
+                ends = np.cumsum(lengths)
+                log_p = total[ends] - total[ends - lengths] + lengths * base
+                for i in np.flatnonzero(own[first : first + len(held)] & (lengths > 0)):
+                    log_p[i] -= scorer.own(at[ends[i] - lengths[i] : ends[i]])
+                losses.append(-log_p)
+                sizes.append(lengths)
+            ids.append(rows.column("doc_id").combine_chunks())
+            langs.append(rows.column("lang").combine_chunks())
+            own_.append(own)
+        cat = lambda x, kind: np.concatenate([np.empty(0, kind), *x])
+        return pa.table(
+            {
+                "doc_id": pa.chunked_array(ids, pa.int64()),
+                "lang": pa.chunked_array(langs, pa.string()),
+                "n_chars": cat(sizes, np.int64),
+                "trusted": cat(own_, bool),
+                "loss": cat(losses, np.float64),
+            }
+        )
+
+    return run
+
+
+def _prime(least: int) -> int:
+    n = max(2, least)
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def losses(docs: DataFrame, good: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, lang, n_chars, trusted and ``loss`` (the sum of -log p) for each row of ``docs``.
+
+    ``good`` has the doc_ids of trusted documents, on which the model is counted.
+    """
+    spark = docs.sparkSession
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = write_bucketed(packed_texts(rows, block), "blocks", "block", buckets)
+    places = packed.select("block", F.posexplode("ids").alias("at", "doc_id"))
+    trusted = places.join(good.hint("merge"), "doc_id", "left_semi").groupBy("block").agg(F.collect_list("at").alias("at"))
+    trusted = write_table(trusted, "trusted")
+    blocks = packed.select("block", "rows")
+    shards = _prime(max(16, packed.count() // 2))
+    both = blocks.groupBy("block").cogroup(trusted.select("block", "at").groupBy("block"))
+    asked = write_table(both.applyInArrow(_ask(shards), "block long, shard long, keys binary"), "asked")
+    values, base, made = model_values(unpacked_counts(asked))
+    values = values.withColumn("shard", F.pmod("key", F.lit(shards)))
+    answers = asked.where("shard >= 0").groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(_answer, "block long, answers binary")
+    # the places of trusted rows go along as another row of answers
+    sent = answers.select("block", "answers", F.lit(None).cast("array<int>").alias("at"))
+    sent = sent.unionByName(trusted.select("block", F.lit(None).cast("binary").alias("answers"), "at"))
+    score = _score(float(np.log(base / CLASSES)))
+
+    def run(key, block: pa.Table, got: pa.Table) -> pa.Table:
+        answers = got.filter(pa.compute.is_valid(got.column("answers")))
+        return score(key, block, answers, got.filter(pa.compute.is_valid(got.column("at"))))
+
+    both = blocks.groupBy("block").cogroup(sent.groupBy("block"))
+    out = write_table(both.applyInArrow(run, "doc_id long, lang string, n_chars long, trusted boolean, loss double"), "losses")
+    drop_tables(packed, trusted, asked, *made)
+    return out
 
 
 def quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, lower: float = LOWER, margin: float = MARGIN) -> DataFrame:
@@ -304,28 +397,22 @@ def quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, lower: flo
 
     All documents that ``labels.quality`` marks 1 are trusted and counted. A document is kept when
     its perplexity (a character, drawn towards its language's mean where the text is short) lies
-    between its language's thresholds, which languages with under 20 trusted documents take from
-    all. Null and empty texts are rejected. Labels that contradict each other for one doc_id
-    count as their smaller value. Without trusted text, all texts that aren't empty are kept.
+    between its language's thresholds, which languages with under 20 trusted documents (and rows
+    without one) take from all. Null and empty texts are rejected. Long texts are scored whole.
+    Rows that share a doc_id are scored each and trusted alike; a null doc_id is never trusted.
+    Labels that contradict each other for one doc_id count as their smaller value, null ones not
+    at all. Without trusted text, all texts that aren't empty are kept. An empty table gives no
+    rows; further columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    # labels grow with the documents, so the join is by shuffle at every size
-    marked = docs.select("doc_id", lang.alias("lang"), "text").join(good.withColumn("trusted", F.lit(True)).hint("merge"), "doc_id", "left")
-    marked = write_table(marked.withColumn("trusted", F.coalesce("trusted", F.lit(False))).withColumn("row", F.monotonically_increasing_id()), "marked")
-    spelling = spark.sparkContext.broadcast(train(marked.where("trusted")))
-    values, weight = word_values(marked.where("trusted"), spelling)
-    losses = word_losses(marked, values, weight, spelling)
-    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    scored = marked.select("doc_id", "lang", size.alias("n_chars"), "trusted", "row").join(losses.hint("merge"), "row", "left")
-    scored = write_table(scored.withColumn("loss", F.coalesce("loss", F.lit(0.0))).drop("row"), "losses")
+    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    scored = losses(docs, good)
     trusted = scored.where("trusted and n_chars > 0")
     stats = [(F.sum("loss") / F.sum("n_chars")).alias("mean"), F.count("*").alias("docs")]
     mean_all = trusted.agg(*stats).withColumnRenamed("mean", "mean_all").drop("docs")
-    means = _by_language(trusted.groupBy("lang").agg(*stats).where("docs >= 20").drop("docs"), "means")
+    means = write_table(trusted.groupBy(F.col("lang").alias("l")).agg(*stats).where("docs >= 20").drop("docs"), "means")
 
     def drawn(df: DataFrame) -> DataFrame:
+        # one row for each language: AQE broadcasts what is small
         df = df.join(means, F.col("lang") == F.col("l"), "left").drop("l").crossJoin(F.broadcast(mean_all))
         mean = F.coalesce("mean", "mean_all")
         return df.withColumn("x", F.coalesce((F.col("loss") + PRIOR * mean) / (F.col("n_chars") + PRIOR), F.lit(0.0))).drop("mean", "mean_all")
@@ -334,7 +421,7 @@ def quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, lower: flo
     ends = [(at(lower) - margin).alias("low"), (at(upper) + margin).alias("high")]
     own = drawn(trusted)
     every = own.agg(*ends).select(F.col("low").alias("low_all"), F.col("high").alias("high_all"))
-    each = _by_language(own.groupBy("lang").agg(*ends, F.count("*").alias("docs")).where("docs >= 20").drop("docs"), "ends")
+    each = write_table(own.groupBy(F.col("lang").alias("l")).agg(*ends, F.count("*").alias("docs")).where("docs >= 20").drop("docs"), "ends")
     out = drawn(scored).join(each, F.col("lang") == F.col("l"), "left").drop("l").crossJoin(F.broadcast(every))
     low, high = F.coalesce("low", "low_all"), F.coalesce("high", "high_all")
     inside = F.coalesce(F.col("x").between(low, high), F.lit(True)) & (F.col("n_chars") > 0)

@@ -315,14 +315,6 @@ def test_toxicity(spark, odd):
     assert len(none) == 7 and all(r["score"] < 0.5 for r in none)
 
 
-def test_kneser_ney_sums_to_one(spark):
-    rng = random.Random(10)
-    model = perplexity.train(docs_of(spark, [sentences(rng, EN, 40) for _ in range(50)]))
-    p = np.exp(model.log()).reshape(-1, perplexity.CLASSES).sum(1)
-    seen = np.exp(model.log()).reshape(-1, perplexity.CLASSES)
-    assert p == pytest.approx(np.ones(len(p)), abs=1e-3) and len(seen) == 64**3
-
-
 def test_quality(spark, odd):
     rng = random.Random(11)
     good = [sentences(rng, EN, 60) for _ in range(120)]
@@ -335,48 +327,87 @@ def test_quality(spark, odd):
     assert len(none) == 7 and sum(r["kept"] for r in none) == 5
 
 
-def test_word_model_equals_the_recurrence(spark):
-    rng = random.Random(14)
-    texts = [sentences(rng, EN + DE, 12) for _ in range(40)] + ["two words", "one"]
-    docs = docs_of(spark, texts).withColumn("row", F.col("doc_id"))
-    spelling = spark.sparkContext.broadcast(perplexity.train(docs))
-    values, weight = perplexity.word_values(docs, spelling)
-    new = [sentences(rng, EN + DE + ["unseen"], 15), texts[0], "one", "  "]
-    asked = docs_of(spark, new).withColumn("row", F.col("doc_id")).withColumn("trusted", F.lit(False))
-    got = {r["row"]: r["loss"] for r in perplexity.word_losses(asked, values, weight, spelling).collect()}
-    pad = lambda t: ["<s>"] * 3 + t.split() + ["</s>"]
-    level = Counter(tuple(w[i - 3 : i + 1]) for w in map(pad, texts) for i in range(3, len(w)))
-    levels = {4: level}
-    for k in (3, 2, 1):
-        level = levels[k] = Counter(g[1:] for g in level)
+def plain_kneser_ney(texts, order=5, classes=4096):
+    """Probabilities of the interpolated modified model by its recurrence; ``without`` leaves n-grams out."""
+    pad = lambda t: [0] * (order - 1) + [ord(c) % classes for c in t]
+    levels = {order: Counter(tuple(w[i - order + 1 : i + 1]) for w in map(pad, texts) for i in range(order - 1, len(w)))}
+    raw = {order: levels[order]}
+    for k in range(order - 1, 0, -1):
+        levels[k], raw[k] = Counter(g[1:] for g in levels[k + 1]), Counter()
+        for g, n in raw[k + 1].items():
+            raw[k][g[1:]] += n
     cuts = {}
     for k, own in levels.items():
         n = Counter(own.values())
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else None
         d = [0.5, 0.75, 0.9]
-        if y is not None:
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
             d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 2 - 3 * y * n[3] / n[2]]
             d = [min(max(v, 0.05), i + 0.95) for i, v in enumerate(d)]
         cuts[k] = {g: min(d[min(c, 3) - 1], c) for g, c in own.items()}
-    spelt = lambda w: np.exp(-spelling.value.losses([w.replace("</s>", "") + " "])[0])
+    totals, held, heads_raw = {k: Counter() for k in levels}, {k: Counter() for k in levels}, {k: Counter() for k in levels}
+    for k, own in levels.items():
+        for g, n in own.items():
+            totals[k][g[:-1]] += n
+            held[k][g[:-1]] += cuts[k][g]
+            heads_raw[k][g[:-1]] += raw[k][g]
 
     def p(g):
         if not g:
-            return None
-        k = len(g)
-        same = [x for x in levels[k] if x[:-1] == g[:-1]]
-        below = p(g[1:]) if k > 1 else spelt(g[0])
-        if not same:
-            return below
-        total = sum(levels[k][x] for x in same)
-        return (levels[k].get(g, 0) - cuts[k].get(g, 0)) / total + sum(cuts[k][x] for x in same) / total * below
-
-    for i, t in enumerate(new):
-        w = pad(t)
-        assert got[i] == pytest.approx(-sum(np.log(p(tuple(w[j - 3 : j + 1]))) for j in range(3, len(w))), rel=1e-6)
-    # tables grow with the text: no class of characters bounds them
-    numbers = docs_of(spark, [" ".join(f"{i * 50 + j}" for j in range(50)) for i in range(40)])
-    assert perplexity.count_words(numbers, spelling).count() == 40 * 51
+            return 1 / classes
+        k, below = len(g), p(g[1:])
+        total = totals[k].get(g[:-1])
+        return below if not total else (levels[k].get(g, 0) - cuts[k].get(g, 0)) / total + held[k][g[:-1]] / total * below
+
+    def loss(t, trusted=False):
+        """The sum of -log p; of a trusted text, less what its own n-grams add."""
+        w, out = pad(t), 0.0
+        own, own_c = Counter(), Counter()
+        grams = [tuple(w[i - order + 1 : i + 1]) for i in range(order - 1, len(w))]
+        for g in grams:
+            out -= np.log(p(g))
+            for k in range(1, order + 1):
+                own[g[-k:]] += 1
+                own_c[k, g[-k:-1]] += 1
+        if trusted:
+            for g, n in own.items():
+                if raw[len(g)].get(g, 0) and raw[len(g)][g] <= n:
+                    k = len(g)
+                    out += n * (np.log(p(g)) - np.log(held[k][g[:-1]] / totals[k][g[:-1]]) - np.log(p(g[1:])))
+            for (k, c), n in own_c.items():
+                if k > 1 and heads_raw[k].get(c, 0) and heads_raw[k][c] <= n:
+                    out += n * np.log(held[k][c] / totals[k][c])
+        return out
+
+    return loss
+
+
+def test_perplexity_equals_the_recurrence(spark):
+    rng = random.Random(14)
+    texts = [sentences(rng, EN + DE, 12) for _ in range(40)] + ["two words", "x", "ünï 日本 \U0001f642"]
+    new = [sentences(rng, EN + DE + ["unseen"], 15), texts[0], "x", "", None, "%%% 日", " \t"]
+    docs = docs_of(spark, texts + new).repartition(3)
+    good = spark.createDataFrame([(i,) for i in range(len(texts))], "doc_id long")
+    loss = plain_kneser_ney(texts)
+    for block in (perplexity.BLOCK, 300):  # one block a partition, and many
+        got = {r["doc_id"]: r for r in perplexity.losses(docs, good, block).collect()}
+        for i, t in enumerate(texts + new):
+            assert got[i]["n_chars"] == len(t or "") and got[i]["trusted"] == (i < len(texts))
+            assert got[i]["loss"] == pytest.approx(loss(t or "", i < len(texts)), rel=1e-4, abs=1e-4)
+
+
+def test_quality_model_is_spread_and_grows(spark):
+    """No class of characters and no cap bounds the tables."""
+    rng = random.Random(24)
+    counts = []
+    for n in (20, 200):
+        docs = docs_of(spark, ["".join(chr(rng.randrange(0x100, 0x1000)) for _ in range(50)) for _ in range(n)])
+        packed = perplexity.packed_texts(docs.select("doc_id", "lang", "text"))
+        trusted = docs.limit(0).select(F.lit(0).cast("long").alias("block"), F.array(F.lit(0)).alias("at"))
+        every = packed.select("block", F.sequence(F.lit(0), F.size("ids") - 1).alias("at"))
+        asked = packed.groupBy("block").cogroup(trusted.unionByName(every).groupBy("block")).applyInArrow(perplexity._ask(7), "block long, shard long, keys binary")
+        counts.append(perplexity.unpacked_counts(asked).count())
+    assert counts[1] > 9 * counts[0]
 
 
 # decontamination
