@@ -62,6 +62,38 @@ def test_token_counts_equal_sentencepiece(spark, odd):
     assert all(r["over_limit"] == (r["n_tokens"] > 4096) for r in got)
 
 
+def test_token_counts_in_bounded_memory(monkeypatch):
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(19)
+    pieces = [sp.id_to_piece(i).replace("▁", " ") for i in range(300, 32000)]  # of all scripts
+    texts = ["".join(rng.choice(pieces) for _ in range(400)) for _ in range(4)] + [" " * 5000, "ab" * 3000 + "c", "", "日本" * 500]
+    want = [len(x) for x in sp.encode(texts)]
+    for name, value in (("MOST_STATES", 300), ("MOST_HASHED", 100), ("SEGMENT", 1500), ("LEAST_SEGMENT", 200)):
+        monkeypatch.setattr(token_count, name, value)
+    t = token_count.Transducer(token_count.Vocabulary.from_sentencepiece(path))
+    assert t.count(texts, chunk=64).tolist() == want  # tables are dropped and built anew on the way
+    assert len(t.states) <= 300 and t.hashed <= 100
+
+
+def test_chunk_maps_compose_by_scan():
+    """Runs that never fall into step: each chunk's start depends on all before it."""
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    t = token_count.Transducer(token_count.Vocabulary.from_sentencepiece(path))
+    calls = []
+    run = t.run
+    t.run = lambda *a: calls.append(len(a[1])) or run(*a)
+    for text in (" " * 300_007, "-" * 300_001, "abc" * 100_000):
+        calls.clear()
+        assert t.count([text])[0] == len(sp.encode(text))
+        assert len(calls) < 40  # not one call a chunk
+
+
 # near duplicates
 
 
