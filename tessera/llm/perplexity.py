@@ -50,14 +50,31 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     Before a text stands character 0.
     """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & (CLASSES - 1)
-    place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    code &= CLASSES - 1
     out = code.copy()
     for k in range(1, ORDER):
-        out[k:] |= np.where(place[k:] >= k, code[:-k], 0) << (BITS * k)
+        out[k:] |= code[:-k] << (BITS * k)
+    starts = np.cumsum(lengths) - lengths
+    for k in range(1, ORDER):  # the k-th character of a text sees no more than k
+        at = starts[lengths >= k] + k - 1
+        out[at] &= _low(k)
     return out, lengths
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers; sorting is faster here than hashing."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with their counts."""
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+    return x[at], np.diff(at, append=len(x))
+
+
 def keys_of(top: np.ndarray) -> np.ndarray:
     """Sorted keys of all n-grams and contexts that distinct n-grams of the highest order hold.
 
@@ -65,9 +82,9 @@ def keys_of(top: np.ndarray) -> np.ndarray:
     """
     out = [np.arange(1, ORDER) << 60]  # the contexts at the start of a text
     for k in range(ORDER, 0, -1):
-        top = np.unique(top & _low(k))
+        top = distinct(top & _low(k))
         out.append(top | (k << 60))
-    return np.unique(np.concatenate(out))
+    return distinct(np.concatenate(out))
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -103,7 +120,7 @@ def packed_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 held.append(b.slice(i, 256))
-                size += held[-1].get_total_buffer_size() * held[-1].num_rows // max(1, b.num_rows) if b.num_rows <= 256 else held[-1].nbytes
+                size += held[-1].nbytes
                 if size >= block:
                     yield row()
                     at, held, size = at + 1, [], 0
@@ -153,14 +170,11 @@ def _ask(shards: int):
                 own[at] = True
             for first, held in _slices(texts):
                 good = own[first : first + len(held)]
-                g, n = np.unique(grams([t for t, ok in zip(held, good, strict=True) if ok])[0], return_counts=True)
-                counts.append((g, n))
-                if not good.all():
-                    g = np.union1d(g, grams([t for t, ok in zip(held, good, strict=True) if not ok])[0])
-                parts.append(g)
-                if len(parts) >= 16:
-                    parts, counts = [np.unique(np.concatenate(parts))], [_merged(counts)]
-        top = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+                counts.append(counted(grams([t for t, ok in zip(held, good, strict=True) if ok])[0]))
+                parts += [counts[-1][0], distinct(grams([t for t, ok in zip(held, good, strict=True) if not ok])[0])]
+                if len(parts) >= 32:
+                    parts, counts = [distinct(np.concatenate(parts))], [_merged(counts)]
+        top = distinct(np.concatenate([np.empty(0, np.int64), *parts]))
         keys = keys_of(top)
         of = keys % shards
         order = np.argsort(of, kind="stable")
@@ -276,7 +290,7 @@ class Scorer:
         self.context = [self._find(((top & _low(k)) >> BITS) | ((k - 1) << 60)) for k in range(2, ORDER + 1)]
         self.total = sum(self.value[s].astype(np.float64) for s in self.suffix) + sum(self.weight[c].astype(np.float64) for c in self.context)
         # a table of places makes look-ups cheap; what it doesn't hold is searched
-        self.shift = np.uint64(64 - max(10, int(len(top)).bit_length() + 2))
+        self.shift = np.uint64(64 - max(10, int(len(top)).bit_length() + 3))
         self.place = np.zeros(1 << (64 - int(self.shift)), np.int32)
         self.place[self._slot(top)] = np.arange(len(top))
 
@@ -293,17 +307,24 @@ class Scorer:
         at[other] = np.searchsorted(self.top, gram[other])
         return at
 
-    def own(self, rows: np.ndarray) -> float:
-        """What n-grams add whose occurrences are all in this document."""
-        out = 0.0
+    def own(self, rows: np.ndarray, lengths: np.ndarray, trusted: np.ndarray) -> np.ndarray:
+        """What n-grams add to each trusted text whose occurrences are all in it."""
+        out = np.zeros(len(lengths))
+        if not trusted.any():
+            return out
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.flatnonzero(trusted[text])
+        text, rows = text[at], rows[at]
+        here = np.bincount(rows, minlength=len(self.top))
         for tables, raw, value in ((self.suffix, self.raw, self.value), (self.context, self.raw_c, self.weight)):
             for table in tables:
-                at = table[rows]
-                # few occurrences anywhere: only these can all be here
-                at = at[(raw[at] > 0) & (raw[at] <= len(rows))]
-                found, n = np.unique(at, return_counts=True)
-                alone = raw[found] <= n
-                out += float((value[found[alone]].astype(np.float64) * n[alone]).sum())
+                # first those whose occurrences are all among these texts
+                few = (raw > 0) & (raw <= np.bincount(table, here, len(raw)))
+                at = np.flatnonzero(few[table][rows])
+                pairs, n = counted(text[at] * len(raw) + table[rows[at]])
+                owner, key = np.divmod(pairs, len(raw))
+                alone = raw[key] <= n
+                out += np.bincount(owner[alone], value[key[alone]] * n[alone].astype(np.float64), len(out))
         return out
 
 
@@ -319,19 +340,17 @@ def _score(base: float):
                 own[at] = True
             parts = []
             for _, held in _slices(texts):
-                parts.append(np.unique(grams(held)[0]))
+                parts.append(distinct(grams(held)[0]))
                 if len(parts) >= 16:
-                    parts = [np.unique(np.concatenate(parts))]
-            scorer = Scorer(got, np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64))
+                    parts = [distinct(np.concatenate(parts))]
+            scorer = Scorer(got, distinct(np.concatenate([np.empty(0, np.int64), *parts])))
             for first, held in _slices(texts):
                 g, lengths = grams(held)
                 at = scorer.rows(g) if len(g) else g
                 total = np.concatenate([[0.0], np.cumsum(scorer.total[at])])
                 ends = np.cumsum(lengths)
                 log_p = total[ends] - total[ends - lengths] + lengths * base
-                for i in np.flatnonzero(own[first : first + len(held)] & (lengths > 0)):
-                    log_p[i] -= scorer.own(at[ends[i] - lengths[i] : ends[i]])
-                losses.append(-log_p)
+                losses.append(scorer.own(at, lengths, own[first : first + len(held)]) - log_p)
                 sizes.append(lengths)
             ids.append(rows.column("doc_id").combine_chunks())
             langs.append(rows.column("lang").combine_chunks())
