@@ -1,13 +1,15 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Documents are shuffled by a hash of their id. Each gets a virtual finish time: the words of its
-source up to and including it, over its source's target. The mix is the global order by virtual
-finish time, cut where the total budget is spent. As targets sum to the budget, each source's
-queue is then cut at its own target; the document in service at that moment is cut with it, so
-sources meet their targets to the word. Sources whose target exceeds their size go round again.
-
-Running sums use two levels: sums of a source's hash ranges, then rows inside one range, so a
-source that holds most rows is spread over many tasks.
+Documents are shuffled by a hash of their id and text. Each gets a virtual finish time: the words
+of its source up to and including it, over its source's target. All entries of all sources are then
+sorted by virtual finish time over ranges of that time, and the mix is cut where a running sum over
+the whole order spends the total budget. The document that its source serves at virtual time 1 is
+two entries, cut there, so sources meet their targets to the word. A source whose target exceeds
+its size goes round again: each document has an entry for each round.
+
+Running sums use two levels: sums of ranges, then rows inside one range. Inside sources ranges go
+by hash, and over all sources by virtual time, in which every source advances evenly; so neither
+a source that holds most rows nor any stretch of the mix is one task's work.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from .common import write_table
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows that one range holds, about, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 4096, 65_536
+RANGE_ROWS, MOST_RANGES = 512, 65_536
 
 
 def _size():
@@ -59,62 +61,125 @@ def targets(sources: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float
     return free.select("source", "source_size", F.least(own, most * F.col("source_size") * F.lit(1.0)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and virtual_finish of each row of ``docs``.
+def _shuffled(seed: str):
+    """The hash by which documents are shuffled; rows of one doc_id are spread by their texts."""
+    own = [F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))]
+    return F.md5(F.concat(*own).cast("binary"))
+
+
+def _ranges(n: int) -> int:
+    return max(1, min(MOST_RANGES, n // RANGE_ROWS))
+
+
+def _upto(sums: DataFrame, by: list[str], at: str) -> DataFrame:
+    """For each range ``at`` (within ``by``), the words of the ranges before it."""
+    order = Window.partitionBy(*by).orderBy(at)
+    return sums.withColumn("before", F.sum("words").over(order) - F.col("words")).drop("words")
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix", key: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, virtual_finish and copies of each row of ``docs``.
 
     ``taken`` counts the words that the mix takes, repeats included; ``virtual_finish`` is that of
-    the document's last copy in the mix, null where none is. Null and empty texts have size 0 and
-    are never taken. Repeated rows queue one after another; ties of the shuffle go by doc_id.
-    An empty table gives no rows.
+    the document's last words in the mix, null where none are; ``copies`` has (copy, words,
+    virtual_finish) of each time that it is taken. With ``key``, a column that numbers the rows of
+    ``docs``, that column comes along. Null and empty texts have size 0 and are never taken. Repeated
+    rows, and rows that share a doc_id or have none, are queued each. Ties of the shuffle go by
+    doc_id and size. An empty table gives no rows; further columns are ignored.
     """
-    sized = write_table(docs.select("doc_id", _source(docs).alias("source"), _size().alias("size")), "sizes")
-    n = sized.count()
-    ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
-    shuffled = sized.withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
-    shuffled = shuffled.withColumn("range", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32)).cast("int"))
+    row = F.col(key) if key else F.monotonically_increasing_id()
+    sized = write_table(docs.select(row.alias("row"), "doc_id", _source(docs).alias("source"), _size().alias("size"), _shuffled(seed).alias("h")), "sizes")
+    ranges = _ranges(sized.count())
+    shuffled = sized.withColumn("range", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32)).cast("int"))
     sums = write_table(shuffled.groupBy("source", "range").agg(F.sum("size").alias("words")), "ranges")
-    goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    before = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("range")) - F.col("words")).drop("words")
-    before = before.join(F.broadcast(goal) if goal.count() <= 10_000 else goal, before["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    inside = Window.partitionBy("source", "range").orderBy("h", F.col("doc_id").isNull(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    goal = write_table(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most), "targets")
+    small = _upto(sums, ["source"], "range").select(F.col("source").alias("s"), F.col("range").alias("r"), "before")
+    small = small.join(goal, small["s"].eqNullSafe(goal["source"])).drop("source")
+    inside = Window.partitionBy("source", "range").orderBy("h", F.col("doc_id").isNull(), "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     queued = shuffled.withColumn("within", F.sum("size").over(inside))
-    small = before.select(F.col("source").alias("s"), F.col("range").alias("r"), "before", "source_size", "target")
     queued = queued.join(small, queued["source"].eqNullSafe(small["s"]) & (queued["range"] == small["r"]))
-    finish = F.col("before") + F.col("within")
-    # in each round, the words of this document that come before the source's target is met
+    begin = F.col("before") + F.col("within") - F.col("size")
+    queued = write_table(queued.select("row", "doc_id", "source", "size", "source_size", "target", begin.alias("begin")), "queues")
+
+    # entries: the part of each copy up to virtual time 1, and what is beyond
     cut = F.floor("target")
-    parts = [F.greatest(F.lit(0), F.least(F.col("size"), cut - F.col("source_size") * i - (finish - F.col("size")))) for i in range(most)]
-    taken = sum(parts[1:], parts[0]).cast("long")
-    rounds = sum((F.when(p > 0, 1).otherwise(0) for p in parts[1:]), F.when(parts[0] > 0, 1).otherwise(0))
-    virtual = F.when(taken > 0, F.least(F.lit(1.0), (finish + F.col("source_size") * (rounds - 1)) / F.col("target")))
-    return queued.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), virtual.alias("virtual_finish"))
+    entries = queued.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    entries = entries.withColumn("begin", F.col("begin") + F.col("copy") * F.col("source_size"))
+    first = F.greatest(F.lit(0), F.least(F.col("size"), cut - F.col("begin")))
+    time = lambda words: F.coalesce(F.try_divide(words.cast("double"), F.col("target")), F.lit(float("inf")))
+    parts = F.array(
+        F.struct(F.lit(0).alias("beyond"), first.alias("words"), F.least(F.lit(1.0), time(F.col("begin") + first)).alias("finish")),
+        F.struct(F.lit(1).alias("beyond"), (F.col("size") - first).alias("words"), F.greatest(F.lit(1.0), time(F.col("begin") + F.col("size"))).alias("finish")),
+    )
+    entries = entries.select("row", "copy", "source", F.explode(parts).alias("p")).select("row", "copy", "source", "p.*").where("words > 0")
+    spans = F.lit(_ranges(2 * most * queued.count()))
+    at = F.when(F.col("finish") <= 1, F.col("finish")).otherwise(2 - 1 / F.col("finish"))  # ranges of virtual time, 0 to 2
+    entries = entries.withColumn("span", F.floor(at * spans).cast("long"))
+    upto = _upto(entries.groupBy("span").agg(F.sum("words").alias("words")), [], "span").withColumnRenamed("span", "t")
+    order = Window.partitionBy("span").orderBy("finish", "beyond", F.col("source").isNull(), "source", "row", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    sorted_ = entries.withColumn("within", F.coalesce(F.sum("words").over(order), F.lit(0))).join(upto, F.col("span") == F.col("t"))
+    budget = goal.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0)).alias("budget"))
+    sorted_ = sorted_.crossJoin(F.broadcast(budget))
+    sorted_ = sorted_.withColumn("words", F.greatest(F.lit(0), F.least(F.col("words"), F.col("budget") - F.col("before") - F.col("within")))).where("words > 0")
+    # a copy that is cut at virtual time 1 and goes on beyond it is one copy again
+    copies = sorted_.groupBy("row", "copy").agg(F.sum("words").cast("long").alias("words"), F.max("finish").alias("virtual_finish"))
+    copies = copies.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("copy", "words", "virtual_finish"))).alias("copies"))
+    copies = copies.withColumnRenamed("row", "r")
+    out = queued.join(copies, queued["row"] == copies["r"], "left")
+    none = F.array().cast("array<struct<copy: int, words: long, virtual_finish: double>>")
+    out = out.withColumn("copies", F.coalesce("copies", none))
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"])
+    return out.select(
+        *([F.col("row").alias(key)] if key else []),
+        "doc_id",
+        "source",
+        "size",
+        "source_size",
+        "target",
+        taken.alias("taken"),
+        F.array_max(F.transform("copies", lambda c: c["virtual_finish"])).alias("virtual_finish"),
+        "copies",
+    )
 
 
-def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix in order: the rows of ``docs`` that it takes, with ``taken`` and the virtual time.
+#: Columns that ``mixed_texts`` adds.
+ADDED = ("copy", "size", "source_size", "target", "taken", "virtual_finish")
 
-    The order is by virtual finish time over all sources (a range sort); a row that is taken more
-    than once stands once, with all its words in ``taken``. Verdicts depend on doc_id, source and
-    size alone, so rows that agree in these (null ids too) are numbered on both sides, and each row
-    meets exactly one verdict.
-    """
-    same = ["_id", "_source", "_size", "_nth"]
 
-    def numbered(df: DataFrame, source, size, order: list) -> DataFrame:
-        keyed = df.withColumns({"_id": F.col("doc_id"), "_source": source, "_size": size})
-        return keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(*order)))
+def mixed_texts(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself, in order of virtual finish time: a row for each copy of a document that it takes.
 
-    left = numbered(docs, _source(docs), _size(), [F.xxhash64("text")])
-    right = numbered(mixed, F.col("source"), F.col("size"), ["virtual_finish", "taken"]).where("taken > 0")
-    right = right.select(*(F.col(c).alias(f"{c}_m") for c in same), "size", "source_size", "target", "taken", "virtual_finish")
-    on = [left[c].eqNullSafe(right[f"{c}_m"]) for c in same]
-    return left.join(right, on).drop(*same, *(f"{c}_m" for c in same)).orderBy("virtual_finish", "doc_id")
+    Rows have the columns of ``docs`` and ``ADDED``; a copy of which the mix takes only the first
+    words has its text cut after them (``n_chars``, where there is one, follows), and ``taken``
+    counts the words of the copy. Columns of ``docs`` that have these names are kept under the
+    name with ``_doc`` behind it. Rows meet their verdict by a number of their own, so null and
+    repeated doc_ids and repeated rows are taken each. Null and empty texts are never taken; an
+    empty table gives no rows; long texts are taken whole.
+    """
+    names = {c: c for c in docs.columns}
+    for c in [c for c in docs.columns if c.lower() in ADDED]:
+        while names[c].lower() in {*ADDED, *(n.lower() for o, n in names.items() if o != c)}:
+            names[c] += "_doc"
+    key = "row"
+    while key in {n.lower() for n in names.values()}:
+        key += "_"
+    rows = write_table(docs.withColumnsRenamed(names).withColumn(key, F.monotonically_increasing_id()), "rows")
+    mixed = mix(rows, key=key, **how).where("taken > 0").select(F.col(key).alias("row_of"), "size", "source_size", "target", F.explode("copies").alias("c"))
+    out = rows.join(mixed, rows[key] == mixed["row_of"]).drop(key, "row_of")
+    out = out.withColumns({"copy": F.col("c.copy"), "taken": F.col("c.words"), "virtual_finish": F.col("c.virtual_finish")}).drop("c")
+    # words, each with the white space before it
+    pieces = F.split("text", "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
+    cut = F.col("taken") < F.col("size")
+    out = out.withColumn("text", F.when(cut, F.array_join(F.slice(pieces, F.lit(1), F.col("taken").cast("int")), "")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*names.values(), *ADDED).orderBy("virtual_finish", "doc_id", "copy")
 
 
 SQL = r"""
 WITH s AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))) AS h
   FROM documents
 ), w AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

@@ -304,9 +304,48 @@ def test_mixing(spark, odd):
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 1
     assert sorted(map(str, mixing.mix(docs.repartition(7)).collect())) == sorted(map(str, rows))
-    mixed = mixing.mixed_texts(docs, mixing.mix(docs)).collect()
+    mixed = mixing.mixed_texts(docs).collect()
     assert [r["virtual_finish"] for r in mixed] == sorted(r["virtual_finish"] for r in mixed)
+    assert {r["doc_id"]: r["taken"] for r in rows if r["taken"]} == dict(sum((Counter({r["doc_id"]: r["taken"]}) for r in mixed), Counter()))
+    assert all(len(r["text"].split()) == r["taken"] <= r["size"] and r["n_chars"] == len(r["text"]) for r in mixed)
+    # cut where the running sum over the whole order spends the budget
+    assert sum(r["taken"] for r in mixed) == sum(int(want[s]) for s in sizes)
     assert mixing.mix(odd).count() == 7 and mixing.mix(odd.limit(0)).count() == 0
+    assert mixing.mixed_texts(odd.limit(0)).count() == 0
+
+
+def test_mixing_equals_its_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(27)
+    sources = [rng.choice(["a", "a", "a", "b", "é", None, "c"]) for _ in range(400)]
+    texts = [rng.choice([None, "", " \n ", " ".join(["w"] * rng.randint(1, 90)), "one\x0btwo"]) for _ in sources]
+    ids = [rng.choice([None, 7, i]) for i in range(400)]
+    docs = docs_of(spark, texts, sources=sources, ids=ids)
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    got = mixing.mix(docs).select(names).toPandas()
+    db = duckdb.connect()
+    documents = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "text": texts, "source": sources})  # noqa: F841
+    want = db.sql(mixing.SQL).df()[names]
+    order = lambda df: df.astype(float).sort_values(names).reset_index(drop=True)
+    pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False)
+
+
+def test_mixed_texts_keep_rows_and_clashing_columns(spark):
+    texts = ["a b c", "a b c", " d\te f g", "h", "h", None]
+    docs = docs_of(spark, texts, sources=["x", "x", "y", "y", "y", "x"], ids=[None, None, 1, 1, 1, 2])
+    for c in ("size", "taken", "target", "virtual_finish", "copy", "row", "h"):
+        docs = docs.withColumn(c, F.lit("own"))
+    got = mixing.mixed_texts(docs).collect()
+    assert {"size_doc", "taken_doc", "target_doc", "virtual_finish_doc", "copy_doc", "row", "h"} <= {*got[0].asDict()}
+    assert all(r["size_doc"] == r["row"] == "own" and r["taken"] == len(r["text"].split()) for r in got)
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert r["text"].split() == [t for t in texts if t and t.split()[: r["taken"]] == r["text"].split()][0].split()[: r["taken"]]
+    targets = {r["source"]: r["target"] for r in got}
+    assert all(abs(taken[k] - targets[k]) <= 1 for k in targets)
 
 
 # classifiers
@@ -465,11 +504,12 @@ def test_alignment_equals_the_recurrence():
 def test_windows_cover_every_place_of_a_seed():
     item = ["x", "y", "z"] + [f"w{i}" for i in range(97)] + ["x", "y", "z"] + [f"v{i}" for i in range(47)]
     text = [f"t{i}" for i in range(300)] + [w if i % 3 or i > 99 else "other" for i, w in enumerate(item)]
-    own = decontaminate.Items([1], [" ".join(item)], {})
-    h = decontaminate.hashes(" ".join(text), decontaminate._Ids())
-    windows = own.candidates(h)[0]
+    h, own = (decontaminate.hashes(" ".join(w), decontaminate._Ids()) for w in (text, item))
+    places, seeds = decontaminate.ngrams(h, 3), decontaminate.ngrams(own, 3)
+    offsets = {p - q for p, g in enumerate(places) for q, s in enumerate(seeds) if g == s}
+    windows = decontaminate.windows(offsets, len(own), len(h))
     assert any(a <= 300 and b >= 450 for a, b in windows)
-    assert own.score([(0, h[a:b]) for a, b in windows]).max() > 0.6
+    assert decontaminate.scores([(own, h[a:b]) for a, b in windows]).max() > 0.6
 
 
 def test_decontamination(spark, odd):
