@@ -3,30 +3,39 @@
 Test items are cut into word n-grams. Seeds are those whose words are together rare: the n-gram
 would be expected less than once by chance in a text of ordinary length, going by how often the
 words occur in the corpus (all documents are counted, a word once in each, so long copies don't make their
-own words common). An item with fewer rare n-grams than others keeps all of them. A document and an item that share a seed
-are aligned word by word, locally, around the places of the shared seeds; the score is the share
-of the item that the best alignment covers, so exact, edited and shortened copies are found.
+own words common). An item of which fewer than half the n-grams are rare keeps all of them.
 
-Items are taken in blocks of bounded size, each of which is sent to all tasks; a larger benchmark
-takes more blocks, not larger ones.
+Seeds join training passages to items: a scan keeps the documents that hold an n-gram which passes
+a Bloom filter of the seeds, and a join by n-gram gives the pairs of a text and an item that share
+one. Verdicts depend on the text alone, so equal texts are aligned once. A text and an item are
+aligned word by word, locally, around the places of the shared seeds; the score is the share of
+the item that the best alignment covers, so exact, edited and shortened copies are found.
+
+The corpus is read twice, whatever the size of the benchmark. Bloom filters have a fixed size and
+are all that is sent to every task; beyond their reach they let more through, and results stay.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import drop_tables, map_texts, slices, write_table
 
-#: Words of a seed; items of a block; the least score; the text length for which seeds are rare.
-SEED, BLOCK, LEAST, ORDINARY = 3, 20_000, 0.5, 1000
+#: Words of a seed; the least score; the text length for which seeds are rare.
+SEED, LEAST, ORDINARY = 3, 0.5, 1000
 #: Scores of a match, a mismatch and a gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items with fewer words than this are only matched whole.
 SHORT = 8
+#: Bits of a Bloom filter (as a power of 2), two of which each entry sets; cells aligned at once.
+BLOOM, CELLS = 25, 1 << 20
 
 _STRIP = bytes(32 if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -80,157 +89,220 @@ def align(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return best
 
 
-class Items:
-    """A block of test items with their seeds."""
+def seed_places(h: np.ndarray, p: np.ndarray, n: int = SEED) -> np.ndarray:
+    """The places of an item's seeds, from the share of the corpus that each of its words has."""
+    if len(h) < n:
+        return np.empty(0, np.int64)
+    chance = np.ones(len(h) - n + 1)
+    for j in range(n):
+        chance *= p[j : len(chance) + j]
+    rare = chance * ORDINARY < 1
+    if 2 * rare.sum() < len(rare):  # an item of common words, or one whose copies made them so
+        rare[:] = True
+    return np.flatnonzero(rare)
+
+
+def windows(offsets: Iterable[int], size: int, length: int) -> list[tuple[int, int]]:
+    """Stretches of a text to align with an item of ``size`` words that may begin at ``offsets``."""
+    out: list[tuple[int, int]] = []
+    for off in sorted(offsets):
+        begin, end = max(0, off - size // 2), min(length, off + size + size // 2)
+        if out and begin <= out[-1][0] + size // 4:  # places of one copy share a window
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((begin, end))
+    return out
+
 
-    def __init__(self, ids: list[int], texts: list[str], frequency: dict[int, float], n: int = SEED):
-        cache = _Ids()
-        self.n = n
-        self.ids = np.array(ids, np.int64)
-        self.words = [hashes(t, cache) for t in texts]
-        grams, owner, place = [], [], []
-        for i, h in enumerate(self.words):
-            k = min(n, len(h))
-            if not k:
-                continue
-            g = ngrams(h, k) if k == n else np.empty(0, np.uint64)
-            if not len(g):
-                continue
-            p = np.array([frequency.get(int(w), 0.0) for w in h])
-            chance = np.ones(len(g))
-            for j in range(n):
-                chance *= p[j : len(g) + j]
-            rare = chance * ORDINARY < 1
-            if 2 * rare.sum() < len(g):  # an item of common words, or one whose copies made them so
-                rare[:] = True
-            at = np.flatnonzero(rare)
-            grams.append(g[at]), owner.append(np.full(len(at), i)), place.append(at)
-        cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        grams, owner, place = cat(grams, np.uint64), cat(owner, np.int64), cat(place, np.int64)
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.owner, self.place = grams[order], owner[order], place[order]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.grams >> np.uint64(42)).astype(np.int64)] = True
-
-    def candidates(self, h: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """For each item that shares a seed with the text: windows of the text to align."""
-        g = ngrams(h, self.n)
-        at = np.flatnonzero(self.bits[(g >> np.uint64(42)).astype(np.int64)])
-        if not len(at):
-            return {}
-        lo, hi = np.searchsorted(self.grams, g[at], "left"), np.searchsorted(self.grams, g[at], "right")
-        windows: dict[int, list[tuple[int, int]]] = {}
-        for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            for s in range(a, b):
-                i, off = int(self.owner[s]), int(self.place[s])
-                size = len(self.words[i])
-                begin, end = max(0, p - off - size // 2), min(len(h), p - off + size + size // 2)
-                own = windows.setdefault(i, [])
-                if own and begin <= own[-1][0] + size // 4:  # places of one copy share a window
-                    own[-1] = (min(own[-1][0], begin), max(own[-1][1], end))
-                else:
-                    own.append((begin, end))
-        return windows
-
-    def score(self, todo: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        """The share of the item that each (item, window) aligns, 0 to 1."""
-        out = np.zeros(len(todo))
-        order = sorted(range(len(todo)), key=lambda t: (len(self.words[todo[t][0]]), len(todo[t][1])))
-        for s in range(0, len(order), 256):
-            part = order[s : s + 256]
-            a = np.zeros((len(part), max(len(self.words[todo[t][0]]) for t in part)), np.uint64)
-            b = np.zeros((len(part), max(1, max(len(todo[t][1]) for t in part))), np.uint64)
-            for r, t in enumerate(part):
-                item, text = self.words[todo[t][0]], todo[t][1]
-                a[r, : len(item)], b[r, : len(text)] = item, text
-            full = np.array([MATCH * len(self.words[todo[t][0]]) for t in part])
-            out[part] = align(a, b) / full
-        return out
-
-
-def _frequencies(docs: DataFrame, wanted: set[int]) -> dict[int, float]:
-    """The share of the corpus that each of the items' words has, words counted once a document."""
-    sorted_ids = np.array(sorted(wanted), np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(sorted_ids)
+def scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The share of the item that each (item, stretch of text) aligns, 0 to 1; about CELLS at once."""
+    out = np.zeros(len(pairs))
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    at = 0
+    while at < len(order):
+        end, wide = at, 0
+        while end < len(order) and (end == at or max(wide, len(pairs[order[end]][1])) * (end - at + 1) <= CELLS):
+            wide = max(wide, len(pairs[order[end]][1]))
+            end += 1
+        part = order[at:end]
+        a = np.zeros((len(part), max(len(pairs[t][0]) for t in part)), np.uint64)
+        b = np.zeros((len(part), max(1, wide)), np.uint64)
+        for r, t in enumerate(part):
+            a[r, : len(pairs[t][0])], b[r, : len(pairs[t][1])] = pairs[t]
+        out[part] = align(a, b) / np.array([MATCH * len(pairs[t][0]) for t in part])
+        at = end
+    return out
+
+
+def _slots(values: np.ndarray) -> list[np.ndarray]:
+    mixed = values.astype(np.uint64) * _MIX
+    return [(mixed >> np.uint64(64 - BLOOM)).astype(np.int64), ((mixed ^ (mixed >> np.uint64(32))) & np.uint64((1 << BLOOM) - 1)).astype(np.int64)]
+
+
+def bloom(df: DataFrame):
+    """A broadcast Bloom filter of a column of longs, of a fixed size whatever their number."""
 
     def run(batches):
-        ids, cache = shared.value, _Ids()
-        total, every = np.zeros(len(ids), np.int64), 0
+        bits = np.zeros(1 << BLOOM, bool)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    h = np.unique(hashes(t, cache))
-                    every += len(h)
-                    if len(ids):
-                        at = np.minimum(np.searchsorted(ids, h), len(ids) - 1)
-                        np.add.at(total, at[ids[at] == h], 1)
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *hit.tolist()], pa.int64()), pa.array([every, *total[hit].tolist()], pa.int64())], names=["word", "n"])
-
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    rows = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    of = {r["word"]: r["n"] for r in rows}
-    every = max(1, of.pop(-1, 1))
-    return {int(sorted_ids[i]): n / every for i, n in of.items()}
-
-
-def _blocks(docs: DataFrame, benchmark: DataFrame):
-    """The benchmark in blocks of bounded size, each sent to all tasks."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // BLOCK))
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        cache = _Ids()
-        frequency = _frequencies(docs, {int(w) for r in rows for w in hashes(r["text"], cache)})
-        yield docs.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], frequency))
+            for at in _slots(b.column(0).to_numpy().view(np.uint64)):
+                bits[at] = True
+        words = np.packbits(bits).view(np.int64)
+        at = np.flatnonzero(words)
+        for s in range(0, len(at), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[s : s + 50_000]), pa.array(words[at[s : s + 50_000]])], names=["at", "bits"])
+
+    # the tasks' filters become one; at most 2^(BLOOM - 6) numbers reach the driver
+    got = df.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << (BLOOM - 6), np.int64)
+    words[got.column("at").to_numpy()] = got.column("bits").to_numpy()
+    return df.sparkSession.sparkContext.broadcast(words)
+
 
+class Filter:
+    def __init__(self, words: np.ndarray):
+        self.bits = np.unpackbits(words.view(np.uint8)).view(bool)
 
-def _hits(docs: DataFrame, shared, least: float, keep: tuple[str, ...]) -> DataFrame:
-    """The ``keep`` columns of each row and ``_hits``, an array of (item_id, score)."""
+    def passes(self, values: np.ndarray) -> np.ndarray:
+        first, second = _slots(values)
+        at = np.flatnonzero(self.bits[first])
+        return at[self.bits[second[at]]]
+
+
+def _item_table(benchmark: DataFrame) -> DataFrame:
+    """item (a number of its own), item_id and words (hashes)."""
 
     def make():
-        own, cache = shared.value, _Ids()
-
-        def fn(texts: list[str]) -> dict:
-            todo, owner = [], []
-            for d, t in enumerate(texts):
-                h = hashes(t, cache)
-                for i, windows in own.candidates(h).items():
-                    for a, b in windows:
-                        todo.append((i, h[a:b]))
-                        owner.append(d)
-            best: list[dict[int, float]] = [{} for _ in texts]
-            for d, (i, _), s in zip(owner, todo, own.score(todo), strict=True):
-                if s >= (least if len(own.words[i]) >= SHORT else 1.0):
-                    item = int(own.ids[i])
-                    best[d][item] = max(best[d].get(item, 0.0), float(s))
-            return {"_hits": [[{"item_id": i, "score": s} for i, s in sorted(b.items())] for b in best]}
-
-        return fn
-
-    types = dict(docs.dtypes)
-    head = ", ".join(f"`{c}` {types[c]}" for c in keep)
-    return map_texts(docs, f"{head}, _hits array<struct<item_id: long, score: double>>", make, keep=keep)
+        cache = _Ids()
+        return lambda texts: {"words": [hashes(t, cache).view(np.int64) for t in texts]}
+
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return write_table(map_texts(rows, "item_id long, words array<long>", make, keep=("item_id",)).withColumn("item", F.monotonically_increasing_id()), "items")
+
+
+def _frequencies(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, int]:
+    """word and n, the documents that hold it, for the items' words; and the sum of n over all words."""
+    wanted = items.select(F.explode("words").alias("word")).distinct()
+    shared = bloom(wanted)
+
+    def run(batches):
+        own, cache, every = Filter(shared.value), _Ids(), 0
+        for b in batches:
+            texts = [t for t in b.column(0).to_pylist() if t]
+            for i, j in slices(texts, 1_000_000):
+                sets = [np.unique(hashes(t, cache)) for t in texts[i:j]]
+                every += sum(map(len, sets))
+                flat = np.concatenate(sets)
+                word, n = np.unique(flat[own.passes(flat)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([every], pa.int64())], names=["word", "n"])
+
+    counts = write_table(docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequencies")
+    every = counts.where("word is null").first()
+    return counts.where("word is not null"), max(1, every["n"] if every else 1)
+
+
+def _seed_table(items: DataFrame, counts: DataFrame, every: int) -> DataFrame:
+    """item, gram and place of the seeds of all items."""
+    each = items.select("item", F.posexplode("words").alias("at", "word")).join(counts, "word", "left")
+    shares = each.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", (F.coalesce("n", F.lit(0)) / every).alias("p")))).alias("s"))
+    rows = items.join(shares, "item").select("item", "words", F.transform("s", lambda x: x["p"]).alias("p"))
+
+    def run(batches):
+        for b in batches:
+            for item, words_, p in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                h = words_.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                at = seed_places(h, p.values.to_numpy(zero_copy_only=False))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(at), pa.int64()), pa.array(ngrams(h, SEED)[at].view(np.int64)), pa.array(at)], names=["item", "gram", "place"])
+
+    return write_table(rows.mapInArrow(run, "item long, gram long, place long"), "seeds")
+
+
+def _candidates(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """doc_id, md5 of the text, text, and the n-grams that may be seeds with their places."""
+    shared = bloom(seeds.select("gram"))
+
+    def run(batches):
+        own, cache = Filter(shared.value), _Ids()
+        for b in batches:
+            for i in range(b.num_rows):
+                text = b.column(1)[i].as_py()
+                g = ngrams(hashes(text or "", cache), SEED)
+                at = own.passes(g)
+                if len(at):
+                    key = hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(i, 1), pa.array([key]), pa.array([text]), pa.array([g[at].view(np.int64)], pa.list_(pa.int64())), pa.array([at], pa.list_(pa.int64()))],
+                        names=["doc_id", "md5", "text", "grams", "places"],
+                    )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return write_table(rows.mapInArrow(run, "doc_id long, md5 string, text string, grams array<long>, places array<long>"), "candidates")
+
+
+def _aligned(pairs: DataFrame, least: float) -> DataFrame:
+    """md5, item_id and score of the pairs of a text and an item that align well enough."""
+
+    def run(batches):
+        cache = _Ids()
+        last, h = None, np.empty(0, np.uint64)
+        for b in batches:
+            todo, owner, items = [], [], []
+            for i, (key, text, offsets) in enumerate(zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True)):
+                if key != last:
+                    last, h = key, hashes(text.as_py(), cache)
+                item = b.column(4)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                items.append(item)
+                for begin, end in windows(offsets, len(item), len(h)):
+                    todo.append((item, h[begin:end]))
+                    owner.append(i)
+            best = np.zeros(b.num_rows)
+            np.maximum.at(best, np.array(owner, np.int64), scores(todo))
+            good = best >= np.array([least if len(w) >= SHORT else 1.0 for w in items])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), b.column(3).filter(pa.array(good)), pa.array(best[good])], names=["md5", "item_id", "score"])
+
+    return pairs.select("md5", "text", "offsets", "item_id", "words").mapInArrow(run, "md5 string, item_id long, score double")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The candidates, and md5, item_id and score of the texts that hold an item."""
+    items = _item_table(benchmark)
+    counts, every = _frequencies(docs, items)
+    seeds = _seed_table(items, counts, every)
+    found = _candidates(docs, seeds)
+    texts = found.groupBy("md5").agg(*(F.first(c).alias(c) for c in ("text", "grams", "places")))
+    texts = write_table(texts, "texts")
+    held = texts.select("md5", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("md5", F.col("s.grams").alias("gram"), F.col("s.places").alias("at"))
+    pairs = held.join(seeds, "gram").groupBy("md5", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("offsets"))
+    pairs = pairs.join(items, "item").join(texts.select("md5", "text"), "md5")
+    hits = write_table(_aligned(pairs, least).groupBy("md5", "item_id").agg(F.max("score").alias("score")), "hits")
+    drop_tables(items, seeds, texts)
+    return found, hits
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, item_id and score: a row for each test item that a row of ``docs`` holds.
 
     A document holds an item when one aligned stretch covers at least ``least`` of it; items of
-    fewer than 8 words must be there whole, and those of fewer than 3 match nothing. Null and empty texts and items match nothing; of items
-    with the same id the best score counts. Further columns are ignored.
+    fewer than 8 words must be there whole, and those of fewer than 3 match nothing. Null and empty
+    texts and items match nothing, items without an id are left out; of items with the same id the
+    best score counts. Each of repeated rows, and each row without a doc_id, has its own result
+    rows; long texts are searched whole; an empty table on either side gives no rows. Further
+    columns are ignored, whatever their names.
     """
-    out = None
-    for shared in _blocks(docs, benchmark):
-        got = _hits(docs, shared, least, ("doc_id",)).where(F.size("_hits") > 0).select("doc_id", F.explode("_hits").alias("h")).select("doc_id", "h.item_id", "h.score")
-        out = got if out is None else out.unionByName(got)
-    return out
+    found, hits = _hits(docs, benchmark, least)
+    return found.select("doc_id", "md5").join(hits, "md5").select("doc_id", "item_id", "score")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, all columns as they are."""
-    names = docs.columns
-    out = docs
-    for shared in _blocks(docs, benchmark):
-        out = _hits(out, shared, least, tuple(names)).where(F.size("_hits") == 0).drop("_hits")
-    return out
+    """The rows of ``docs`` that hold no test item, all columns as they are.
+
+    Null and empty texts stay, rows that are repeated or have no doc_id stay or go each by its text,
+    and columns may have any names; the rest is as in ``contaminated``.
+    """
+    found, hits = _hits(docs, benchmark, least)
+    drop_tables(found)
+    gone = hits.select("md5").distinct()
+    # the only shuffle of texts is avoided where the hits are few: AQE sends them to all tasks
+    return docs.join(gone, F.md5(docs["text"].cast("binary")) == gone["md5"], "left_anti")

@@ -33,7 +33,7 @@ from .common import drop_tables, write_bucketed, write_table
 ORDER, BITS = 5, 12
 CLASSES = 1 << BITS
 #: Bytes of text that a block holds, about; characters that are worked on at once.
-BLOCK, SLICE = 32_000_000, 1_000_000
+BLOCK, SLICE = 16_000_000, 1_000_000
 #: Quantiles of trusted perplexities, and how much further out, in log-perplexity, a text may be.
 UPPER, LOWER, MARGIN = 0.98, 0.01, 0.12
 #: A text's mean is drawn to its language's as if it had so many more characters.
@@ -88,15 +88,17 @@ def keys_of(top: np.ndarray) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
+    """Arrays of one length, compressed; equal bytes of all numbers stand together."""
+    return zstandard.compress(b"".join(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in map(np.ascontiguousarray, arrays)), 1)
 
 
 def _unpack(packed: bytes, *kinds) -> list[np.ndarray]:
-    raw = zstandard.decompress(packed)
-    n, out, at = len(raw) // sum(np.dtype(k).itemsize for k in kinds), [], 0
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, out, at = len(raw) // sum(sizes), [], 0
+    for k, size in zip(kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(k).reshape(n))
+        at += n * size
     return out
 
 
