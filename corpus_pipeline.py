@@ -39,8 +39,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in order, with the words taken of each document."""
-    return mixing.mixed_texts(docs, mixing.mix(docs))
+    """The mix in order: a row for each copy that it takes, the last words of a source cut at its target."""
+    return mixing.mixed_texts(docs)
 
 
 STAGES = [
