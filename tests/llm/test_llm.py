@@ -177,11 +177,32 @@ def test_topk_equals_brute_force(spark):
         scores = x @ x[q]
         order = [i for i in sorted(range(600), key=lambda i: (-scores[i], i)) if i != q][:10]
         assert sorted(own) == [(n + 1, i, scores[i]) for n, i in enumerate(order)]
-    few = dense_topk.dense_topk(df.where("vec_id < 3"), F.col("vec_id") % 100 == 0)
+    few = dense_topk.dense_topk(df.where("vec_id < 3").withColumn("score", F.lit(1)).withColumn("v", F.lit(1)), F.col("vec_id") % 100 == 0)
     assert few.count() == 2
     assert dense_topk.dense_topk(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{}, {"SHARD": 40, "BLOCK": 2, "SAMPLE": 30}])
+def test_topk_equals_its_sql(spark, monkeypatch, sizes):
+    """Repeated ids and rows, and vectors of different lengths."""
+    import duckdb
+    import pandas as pd
+
+    for name, value in sizes.items():
+        monkeypatch.setattr(dense_topk, name, value)
+    rng = np.random.default_rng(23)
+    rows = [(int(i), rng.normal(size=int(rng.integers(1, 9))).astype(np.float32).tolist()) for i in rng.integers(-100, 300, 150)]
+    rows += rows[:20] + [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (100, [3.0]), (200, []), (None, [1.0])] + [(i, [0.5, 0.5]) for i in range(400, 430)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    names = ["query_id", "rank", "vec_id", "score"]
+    got = dense_topk.dense_topk(df, F.col("vec_id") % 100 == 0).toPandas()
+    db = duckdb.connect()
+    embeddings = df.toArrow()  # noqa: F841
+    want = db.sql(dense_topk.SQL).df()
+    order = lambda x: x[names].sort_values(names).reset_index(drop=True)
+    pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False)
+
+
 # secrets and personal data
 
 
