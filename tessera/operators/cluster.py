@@ -28,19 +28,20 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def cost(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """The sum of squared distances of points (``id``, ``v``) to their nearest centroids (``v``).
+    """The sum of squared distances of points (``v``) to their nearest centroids (``v``).
 
-    The join is a nested loop over broadcast blocks of about ``BLOCK`` centroids, all in turn.
+    Centroids go out as arrays, one broadcast row for each block of about ``BLOCK``; each point takes
+    the least distance over all blocks in place, so no row is shuffled or multiplied.
     """
-    c = centroids.select(F.col("v").alias("c"))
+    c = centroids.where("v is not null").select(F.col("v").alias("c"))
     blocks = max(1, -(-c.count() // BLOCK))
-    best = None
+    near = points.select("v", F.lit(None).cast("double").alias("d"))
     for i in range(blocks):
         block = c.where(F.pmod(F.xxhash64("c"), F.lit(blocks)) == i) if blocks > 1 else c
-        near = points.crossJoin(F.broadcast(block)).groupBy("id").agg(F.min(squared_distance(F.col("v"), F.col("c"))).alias("d"))
-        best = near if best is None else best.unionByName(near)
-    best = best.groupBy("id").agg(F.min("d").alias("d")) if blocks > 1 else best
-    return best.agg(F.sum("d").alias("cost"))
+        block = block.agg(F.collect_list("c").alias("cs"))
+        best = F.array_min(F.transform("cs", lambda x: squared_distance(F.col("v"), x)))
+        near = near.crossJoin(F.broadcast(block)).select("v", F.least("d", best).alias("d"))
+    return near.agg(F.sum("d").alias("cost"))
 
 
 def cost_sweep(vectors: DataFrame, ks: Iterable[int] = range(2, 21), inits: Iterable[str] = ("k-means||", "random"), seed: int = 1) -> DataFrame:

@@ -23,17 +23,20 @@ def step(weights: DataFrame, ranks: DataFrame, n: int) -> DataFrame:
     return got.crossJoin(F.broadcast(lost)).select("node", (F.col("x") + F.col("lost")).alias("rank"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, beta: float = 0.8, epsilon: float = 1.0, max_rounds: int = 100, rounds: int | None = None) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame, beta: float = 0.8, epsilon: float = 1.0, rounds: int | None = None) -> DataFrame:
     """node and rank, from all ranks 1 until the total change of a round is below ``epsilon``.
 
-    ``rounds`` fixes their number instead. The first change is the distance from all zeros, as the
+    ``rounds`` fixes their number instead. With ``beta`` below 1 the change shrinks by ``beta`` or
+    more in each round, so the end always comes. The first change is the distance from all zeros, as the
     old ranks start at 0. Each round's ranks are checkpointed, so plans stay short.
     """
+    if rounds is None and not (epsilon > 0 and 0 <= beta < 1):
+        raise ValueError("beta below 1 and a positive epsilon are needed to come to an end")
     n = nodes.count()
     weights = checkpointed(weighted_edges(edges, beta))
     ranks = checkpointed(nodes.select("node", F.lit(1.0).alias("rank")))
     change, done = float(n), 0
-    while (done < rounds) if rounds is not None else (change >= epsilon and done < max_rounds):
+    while (done < rounds) if rounds is not None else change >= epsilon:
         new = checkpointed(step(weights, ranks, n))
         if rounds is None:
             moved = new.join(ranks.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("d")).first()

@@ -12,6 +12,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..persist import checkpointed
+
 
 def frequent_items(baskets: DataFrame, support: float, n: int | None = None) -> DataFrame:
     """items (one) and n of the items in at least ``support`` of all baskets."""
@@ -50,11 +52,12 @@ def _support(kept: DataFrame, size: int) -> DataFrame:
 
 def apriori(baskets: DataFrame, support: float = 0.01) -> dict[str, DataFrame]:
     """C1, L1, C2, L2, C3 and L3; the L have items, n and support. Sets stop at three items."""
+    baskets = checkpointed(baskets.select("basket_id", "items"))
     n = max(1, baskets.count())
-    l1 = frequent_items(baskets, support, n).cache()
-    kept = _kept(baskets, l1)
+    l1 = checkpointed(frequent_items(baskets, support, n))
+    kept = checkpointed(_kept(baskets, l1))
     c2 = candidate_pairs(l1)
-    l2 = _support(kept, 2).where(F.col("n") / n >= support).cache()
+    l2 = checkpointed(_support(kept, 2).where(F.col("n") / n >= support))
     c3 = candidate_triples(l2)
     l3 = _support(kept, 3).join(c3, "items", "left_semi").where(F.col("n") / n >= support)
     relative = lambda df: df.select("items", "n", (F.col("n") / n).alias("support"))

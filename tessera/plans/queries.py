@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cluster, graph, itemsets, linalg, recommend, similarity, social, text
+from ..sources import files
 from ..sources.files import parquet
 from ..streaming import words as streams
 from . import inputs
 
 QUERIES: dict = {}
-SUPPORT, CONFIDENCE, ROUNDS = 0.002, 0.15, 5
+SUPPORT, CONFIDENCE, ROUNDS, HASHES = 0.002, 0.15, 5, 1000
 
 
 def query(f):
@@ -172,8 +173,35 @@ def _docs(spark, sf):
 
 @query
 def minhash_signatures(spark, sf):
+    """Each document's minimum under each of 1,000 hash functions."""
     numbers = similarity.numbered(similarity.shared_shingles(similarity.document_shingles(_docs(spark, sf))))
-    return similarity.minhash(numbers, 100)
+    return similarity.minhash(numbers, HASHES).select("doc_id", F.posexplode("signature").alias("i", "low"))
+
+
+@query
+def bounded_input(spark, sf):
+    """The first thousand documents."""
+    return similarity.first_documents(_docs(spark, sf), 1000).select("doc_id", F.length("text").alias("n"))
+
+
+def _alike(spark, sf):
+    """Signatures of the documents, and the pairs that are 0.8 alike by exact comparison of all pairs that share a shingle."""
+    shared = similarity.shared_shingles(similarity.document_shingles(_docs(spark, sf)))
+    return similarity.minhash(similarity.numbered(shared), HASHES), similarity.exact_pairs(shared)
+
+
+@query
+def lsh_recall(spark, sf):
+    """The share of the truly similar pairs that 20 bands find."""
+    signatures, truth = _alike(spark, sf)
+    return similarity.recall(similarity.candidate_pairs(signatures, 20), truth).select(F.round("recall", 6).alias("recall"))
+
+
+@query
+def band_sweep(spark, sf):
+    """Recall at 20 to 50 bands."""
+    signatures, truth = _alike(spark, sf)
+    return similarity.band_sweep(signatures, truth, range(20, 51, 5)).select("bands", F.round("recall", 6).alias("recall"))
 
 
 @query
@@ -184,12 +212,12 @@ def lsh_pairs(spark, sf):
 @query
 def minhash_error(spark, sf):
     """How far MinHash estimates are from exact similarities, over the candidate pairs."""
-    numbers = similarity.numbered(similarity.shared_shingles(similarity.document_shingles(_docs(spark, sf))))
-    signatures = similarity.minhash(numbers, 100)
-    pairs = similarity.candidate_pairs(signatures, 10)
-    sets = numbers.groupBy("doc_id").agg(F.collect_set("x").alias("set"))
-    held = similarity.with_pairs(similarity.with_pairs(pairs, sets, "set"), signatures, "signature")
-    return similarity.estimate_error(held.select(similarity.jaccard(F.col("set_a"), F.col("set_b")).alias("jaccard"), similarity.agreement(F.col("signature_a"), F.col("signature_b")).alias("minhash")))
+    shared = similarity.shared_shingles(similarity.document_shingles(_docs(spark, sf)))
+    signatures = similarity.minhash(similarity.numbered(shared), HASHES)
+    pairs = similarity.candidate_pairs(signatures, 100)
+    held = similarity.with_pairs(similarity.with_pairs(pairs, similarity.shingle_sets(shared), "set"), signatures, "signature")
+    error = similarity.estimate_error(held.select(similarity.jaccard(F.col("set_a"), F.col("set_b")).alias("jaccard"), similarity.agreement(F.col("signature_a"), F.col("signature_b")).alias("minhash")))
+    return error.select(F.round("rmse", 6).alias("rmse"))
 
 
 @query
@@ -220,23 +248,23 @@ def pagerank_top10(spark, sf):
     return graph.top_ranked(_ranks(spark, sf, epsilon=0.01)).select("node", F.round("rank", 2).alias("rank"))
 
 
-def _streamed(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    return streams.run_to_end(stream, f"s{uuid.uuid4().hex}", mode=mode)
+def _streamed(stream: DataFrame, *keys: str) -> DataFrame:
+    return streams.run_to_end(stream, uuid.uuid4().hex, keys)
 
 
 @query
 def stream_tumbling(spark, sf):
-    return _streamed(streams.tumbling_counts(inputs.word_stream(spark, sf), "10 minutes")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "word", "count")
+    return _streamed(streams.tumbling_counts(inputs.word_stream(spark, sf), "10 minutes"), "window_start", "word").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "word", "count")
 
 
 @query
 def stream_sliding(spark, sf):
-    return _streamed(streams.sliding_counts(inputs.word_stream(spark, sf), "60 minutes", "10 minutes")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "word", "count")
+    return _streamed(streams.sliding_counts(inputs.word_stream(spark, sf), "60 minutes", "10 minutes"), "window_start", "word").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "word", "count")
 
 
 @query
 def stream_top_words(spark, sf):
-    counts = _streamed(streams.tumbling_counts(inputs.word_stream(spark, sf), "6 hours"))
+    counts = _streamed(streams.tumbling_counts(inputs.word_stream(spark, sf), "6 hours"), "window_start", "word")
     return streams.top_of_windows(counts, 2).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "word", "count", "rn")
 
 
@@ -249,7 +277,7 @@ def stream_edw(spark, sf):
     """Each word's decaying count after the last hour, kept as state of a stream."""
     hours = inputs.words(spark, sf).agg(F.min(F.floor(F.unix_timestamp("ts") / 3600)).alias("a"), F.max(F.floor(F.unix_timestamp("ts") / 3600)).alias("b")).first()
     counted = inputs.word_stream(spark, sf).select("word", (F.floor(F.unix_timestamp("ts") / 3600) - F.lit(hours["a"])).cast("long").alias("batch"), F.lit(1).alias("n"))
-    states = _streamed(streams.decaying_state(counted), mode="update")
+    states = _streamed(streams.decaying_state(counted), "word", "batch")
     last = states.groupBy("word").agg(F.max(F.struct("batch", "value")).alias("s"))
     gap = F.lit(hours["b"] - hours["a"]) - F.col("s.batch")
     value = F.col("s.value") * F.pow(F.lit(0.9), gap.cast("double"))
@@ -272,7 +300,9 @@ def zscore(spark, sf):
 
 @query
 def gram_matrix(spark, sf):
-    return linalg.gram_matrix(inputs.measures(spark, sf), inputs.MEASURES).select("i", "j", F.round("value", 3).alias("value"))
+    """Sums of decimals, so that no order of adding them shows in the rounded result."""
+    exact = inputs.measures(spark, sf).select(*(F.col(c).cast("decimal(18,5)").alias(c) for c in inputs.MEASURES))
+    return linalg.gram_matrix(exact, inputs.MEASURES).select("i", "j", F.round(F.col("value").cast("decimal(38,10)"), 3).cast("double").alias("value"))
 
 
 @query
@@ -282,21 +312,23 @@ def covariance(spark, sf):
 
 @query
 def svd_v(spark, sf):
-    return linalg.svd_v(linalg.zscore(inputs.measures(spark, sf), inputs.MEASURES), inputs.MEASURES)
+    got = linalg.svd_v(linalg.zscore(inputs.measures(spark, sf), inputs.MEASURES), inputs.MEASURES)
+    return got.select("component", "column", F.round("value", 5).alias("value"), F.round("singular", 4).alias("singular"))
 
 
 @query
 def pca_pc(spark, sf):
-    return linalg.principal_components(linalg.zscore(inputs.measures(spark, sf), inputs.MEASURES), inputs.MEASURES)
+    got = linalg.principal_components(linalg.zscore(inputs.measures(spark, sf), inputs.MEASURES), inputs.MEASURES)
+    return got.select("component", "column", F.round("value", 5).alias("value"))
 
 
 @query
 def standardized_vectors(spark, sf):
-    """The library's scaler on embeddings, as arrays."""
-    from pyspark.ml.functions import vector_to_array
+    """The library's scaler on embeddings, a row for each entry."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    vectors = cluster.as_vectors(parquet(spark, sf, "embeddings"), "embedding")
-    return linalg.standardize(vectors).select(vector_to_array("scaled").alias("scaled"))
+    rows = parquet(spark, sf, "embeddings").select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    return linalg.standardize(rows).select("vec_id", F.posexplode(vector_to_array("scaled")).alias("d", "x")).select("vec_id", "d", F.round("x", 5).alias("scaled"))
 
 
 @query
@@ -312,3 +344,47 @@ def cost_given_centroids(spark, sf):
     each = points.select("label", F.posexplode("v").alias("d", "x")).groupBy("label", "d").agg(F.avg("x").alias("x"))
     means = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("v"))
     return cluster.cost(points, means).select(F.round("cost", 5).alias("cost"))
+
+
+def _text_lines(table: DataFrame, *columns, sep: str = " ") -> DataFrame:
+    """A table's rows as the lines of a text file."""
+    return table.select(F.concat_ws(sep, *columns).alias("value"))
+
+
+@query
+def parsed_ratings(spark, sf):
+    """Ratings by way of their lines, with ids counted from 0."""
+    text_rows = _text_lines(inputs.ratings(spark, sf), "user", "item", "rating", sep="\t ")
+    return files.zero_based(files.ratings(text_rows))
+
+
+@query
+def parsed_vectors(spark, sf):
+    """Measures by way of lines with spaces and with commas, summed up by column."""
+    orders = parquet(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax")
+    spaced = files.space_vectors(_text_lines(orders, *orders.columns)).select(F.lit("space").alias("kind"), F.posexplode("features").alias("d", "x"))
+    commas = files.csv_vectors(_text_lines(orders, *orders.columns, sep=",")).select(F.lit("comma").alias("kind"), F.posexplode("features").alias("d", "x"))
+    exact = F.sum(F.col("x").cast("decimal(18,5)")).cast("double")
+    return spaced.unionByName(commas).groupBy("kind", "d").agg(F.count("*").alias("n"), exact.alias("total"))
+
+
+@query
+def parsed_baskets(spark, sf):
+    """Orders' brands by way of lines of words: how many baskets have how many distinct words."""
+    lines = _text_lines(inputs.baskets(spark, sf), F.array_join("items", "  "))
+    return files.baskets(lines).groupBy(F.size("items").alias("words")).agg(F.count("*").alias("n"))
+
+
+@query
+def parsed_adjacency(spark, sf):
+    """Friends by way of their lines."""
+    rows = inputs.adjacency(spark, sf).select("user", F.array_join(F.array_sort(F.col("friends")).cast("array<string>"), ",").alias("friends"))
+    got = files.adjacency(_text_lines(rows, "user", "friends", sep="\t"))
+    return got.select("user", F.size("friends").alias("n"), F.array_join(F.array_sort("friends").cast("array<string>"), ",").alias("friends"))
+
+
+@query
+def parsed_texts(spark, sf):
+    """One-line texts by way of quoted lines."""
+    rows = parquet(spark, sf, "nation").select(F.concat(F.lit('"'), F.col("n_nationkey").cast("string"), F.lit('","'), F.col("n_name"), F.lit('"')).alias("value"))
+    return files.quoted_texts(rows)

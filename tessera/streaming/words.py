@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..persist import shared_dir
+
 
 def socket_words(spark: SparkSession, host: str = "localhost", port: int = 9999) -> DataFrame:
     """One word a line from a TCP server, with its arrival time."""
@@ -20,14 +22,19 @@ def file_words(spark: SparkSession, folder: str, schema: str, glob: str = "*", f
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", glob).parquet(folder)
 
 
-def tumbling_counts(words: DataFrame, every: str = "10 seconds") -> DataFrame:
-    """window_start, word and count of each window."""
-    got = words.groupBy(F.window("ts", every).alias("w"), "word").agg(F.count("*").alias("count"))
+def late_until(words: DataFrame, delay: str | None) -> DataFrame:
+    """With a delay, words that come later than it are left out and closed windows are forgotten."""
+    return words.withWatermark("ts", delay) if delay else words
+
+
+def tumbling_counts(words: DataFrame, every: str = "10 seconds", delay: str | None = None) -> DataFrame:
+    """window_start, word and count of each window; ``delay`` is the watermark's."""
+    got = late_until(words, delay).groupBy(F.window("ts", every).alias("w"), "word").agg(F.count("*").alias("count"))
     return got.select(F.col("w.start").alias("window_start"), "word", "count")
 
 
-def sliding_counts(words: DataFrame, length: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
-    got = words.groupBy(F.window("ts", length, slide).alias("w"), "word").agg(F.count("*").alias("count"))
+def sliding_counts(words: DataFrame, length: str = "60 seconds", slide: str = "10 seconds", delay: str | None = None) -> DataFrame:
+    got = late_until(words, delay).groupBy(F.window("ts", length, slide).alias("w"), "word").agg(F.count("*").alias("count"))
     return got.select(F.col("w.start").alias("window_start"), "word", "count")
 
 
@@ -94,16 +101,30 @@ def decayed_totals(counts: DataFrame, last: int, c: float = 0.1, least: float =
     return done.select("word", faded(F.col("s.v"), F.lit(last) - F.col("s.at")).alias("value")).where(F.col("value") > 0)
 
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "complete", timeout: int = 120) -> DataFrame:
-    """Run a stream over what is there into a table in memory, and return the table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(name)
-    return stream.sparkSession.table(name)
+def run_to_end(stream: DataFrame, name: str, keys: Sequence[str], checkpoint: str | None = None, mode: str = "update") -> DataFrame:
+    """Run a stream over all that is there, and return each key's last row.
+
+    Each batch's changes are written to a folder of its own, named by the batch, so a batch that is
+    repeated after a failure replaces itself; nothing is gathered on the driver. Results and the
+    query's checkpoint stand in ``checkpoint``, else in a new folder that the executors share.
+    """
+    spark = stream.sparkSession
+    folder = checkpoint or f"{shared_dir(spark)}/stream-{name}"
+    schema = stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/b{number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/out/none")  # there may be no batch
+    rows = spark.read.schema(schema).parquet(f"{folder}/out/*")
+    rows = rows.select(*schema.names, F.regexp_extract(F.input_file_name(), "/b([0-9]+)/[^/]*$", 1).cast("long").alias("batch_"))
+    if mode == "append":
+        return rows.drop("batch_")
+    rest = [c for c in schema.names if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_").alias("r"))
+    return last.select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest)).select(*schema.names)
 
 
 def print_top(stream: DataFrame, n: int = 10, checkpoint: str | None = None):

@@ -1,13 +1,19 @@
 """Hand-sized cases with known results."""
 
+import datetime
 import math
 import random
+import socket
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import cluster, graph, itemsets, linalg, recommend, similarity, social, text
-from tessera.sources import files
+from tessera import persist
+from tessera.sources import files, plot
+from tessera.streaming import simulator
 from tessera.streaming import words as streams
 
 
@@ -151,10 +157,96 @@ def test_stream_equals_replay(spark, tmp_path):
     rows = spark.createDataFrame([("w", i, n) for i, n in enumerate(COUNTS) if n], "word string, batch long, n long")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))  # batches come in order
     stream = streams.file_words(spark, str(tmp_path / "in"), "word string, batch long, n long")
-    got = streams.run_to_end(streams.decaying_state(stream), "edw_test", str(tmp_path / "cp"), "update").where("batch = 11").first()
+    got = streams.run_to_end(streams.decaying_state(stream), "edw_test", ["word", "batch"], str(tmp_path / "cp")).where("batch = 11").first()
     assert got["value"] == pytest.approx(VALUES[-1], abs=1e-6)
 
 
+def minutes(*words):
+    return [(datetime.datetime(2024, 1, 1, 10, m), w) for m, w in words]
+
+
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    folder, schema = str(tmp_path / "in"), "ts timestamp, word string"
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    counts = lambda: {(r["window_start"].minute, r["word"]): r["count"] for r in streams.run_to_end(streams.tumbling_counts(streams.file_words(spark, folder, schema), "10 minutes"), "x", ["window_start", "word"], str(tmp_path / "cp")).collect()}
+    write(minutes((1, "a"), (2, "a"), (11, "b")))
+    assert counts() == {(0, "a"): 2, (10, "b"): 1}
+    write(minutes((3, "a"), (12, "c")))
+    assert counts() == {(0, "a"): 3, (10, "b"): 1, (10, "c"): 1}
+
+
+def test_watermark_leaves_out_late_words(spark, tmp_path):
+    folder, schema = str(tmp_path / "in"), "ts timestamp, word string"
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    for delay, want in (("5 minutes", 1), (None, 2)):
+        stream = lambda: streams.sliding_counts(streams.file_words(spark, f"{folder}", schema), "10 minutes", "10 minutes", delay)  # noqa: E731, B023
+        run = lambda: streams.run_to_end(stream(), "x", ["window_start", "word"], str(tmp_path / f"cp{delay}"))  # noqa: E731, B023
+        if delay:
+            write(minutes((1, "a"), (50, "b")))
+        run()
+        if delay:
+            write(minutes((2, "a")))
+        got = {(r["window_start"].minute, r["word"]): r["count"] for r in run().collect()}
+        assert got == {(0, "a"): want, (50, "b"): 1}
+
+
+def test_empty_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = streams.tumbling_counts(streams.file_words(spark, str(tmp_path / "in"), "ts timestamp, word string"), "10 minutes")
+    assert streams.run_to_end(stream, "x", ["window_start", "word"], str(tmp_path / "cp")).count() == 0
+
+
+def test_socket_words_from_the_simulator(spark, tmp_path):
+    (tmp_path / "words").write_text("a\nb\na\n")
+    with socket.create_server(("localhost", 0)) as s:
+        port = s.getsockname()[1]
+    server = threading.Thread(target=simulator.serve, args=(str(tmp_path / "words"), port, 0.0), daemon=True)
+    server.start()
+    time.sleep(0.5)
+    stream = streams.socket_words(spark, port=port)
+    rows: list = []
+    query = stream.writeStream.foreachBatch(lambda batch, _: rows.extend(r["word"] for r in batch.collect())).start()
+    until = time.time() + 60
+    while len(rows) < 3 and time.time() < until:
+        time.sleep(0.2)
+    query.stop()
+    server.join(10)
+    assert rows == ["a", "b", "a"]
+
+
+def test_each_batch_is_printed(spark, tmp_path, capfd):
+    spark.createDataFrame(minutes((1, "much"), (2, "much"), (3, "little")), "ts timestamp, word string").write.parquet(str(tmp_path / "in"))
+    counts = streams.file_words(spark, str(tmp_path / "in"), "ts timestamp, word string", files=100).groupBy("word").agg(F.count("*").alias("count"))
+    query = streams.print_top(counts, 1, str(tmp_path / "cp"))
+    query.processAllAvailable()
+    query.stop()
+    out = capfd.readouterr().out
+    assert "much" in out and "little" not in out
+
+
+def test_plots(tmp_path):
+    assert plot.als_label("5_0.1.txt") == "lambda = 0.1" and plot.als_label("5_0.1") == "lambda = 0.1"
+    try:
+        import matplotlib  # noqa: F401
+    except ImportError:
+        with pytest.raises(RuntimeError):
+            plot.plot_reports({"a": [(1, 2)]}, str(tmp_path / "p.png"), "x", "y")
+    else:
+        plot.plot_reports({"a": [(1, 2)]}, str(tmp_path / "p.png"), "x", "y")
+        assert (tmp_path / "p.png").stat().st_size
+
+
+def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    class Session:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(ValueError):
+        persist.shared_dir(Session)
+    Session.conf = {"spark.checkpoint.dir": "hdfs://x"}
+    assert persist.shared_dir(Session) == "hdfs://x"
+
+
 def test_svd_and_pca_agree(spark):
     rng = random.Random(1)
     rows = [(a, a * 0.5 + rng.random(), rng.random()) for a in (rng.random() for _ in range(60))]
@@ -175,6 +267,35 @@ def test_kmeans_cost(spark):
     assert cluster.cost(points, centroids).first()[0] == pytest.approx(10.0)
 
 
+def test_kmeans_sweep(spark):
+    points = spark.createDataFrame([(float(i % 4 * 10 + i % 3),) for i in range(60)], "x double")
+    got = {(r["init"], r["k"]): r["cost"] for r in cluster.cost_sweep(cluster.as_vectors(points.select(F.array("x").alias("v")), "v"), (2, 4)).collect()}
+    assert set(got) == {(i, k) for i in ("k-means||", "random") for k in (2, 4)}
+    assert got["k-means||", 4] == pytest.approx(40.0)  # four groups of 0, 1, 2, five times each
+    assert all(got[i, 4] <= got[i, 2] for i in ("k-means||", "random"))
+
+
+def test_cost_counts_points_that_share_an_id(spark):
+    points = spark.createDataFrame([(1, [0.0]), (1, [4.0]), (None, [4.0])], "id long, v array<double>")
+    centroids = spark.createDataFrame([([1.0],), (None,)], "v array<double>")
+    assert cluster.cost(points, centroids).first()["cost"] == pytest.approx(19.0)
+
+
+def test_exact_pairs_and_recall(spark):
+    rng = random.Random(5)
+    sets = {i: {rng.randrange(12) for _ in range(rng.randint(1, 9))} for i in range(60)}
+    rows = spark.createDataFrame([(i, f"s{x}") for i, v in sets.items() for x in v], "doc_id long, shingle string")
+    want = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    truth = similarity.exact_pairs(rows)
+    assert {tuple(r) for r in truth.collect()} == want
+    some = truth.where("a % 2 = 0")
+    assert similarity.recall(some, truth).first()[0] == pytest.approx(sum(a % 2 == 0 for a, _ in want) / len(want))
+    signatures = similarity.minhash(similarity.numbered(rows), 100)
+    swept = [r["recall"] for r in similarity.band_sweep(signatures, truth, (5, 20, 50)).collect()]
+    assert swept == sorted(swept) and swept[-1] > 0.9
+    assert similarity.first_documents(spark.range(9).toDF("doc_id"), 3).count() == 3
+
+
 def test_cost_takes_all_centroids(spark):
     points = spark.createDataFrame([(1, [10_500.0]), (2, [3.0])], "id long, v array<double>")
     centroids = spark.range(10_501).select(F.array(F.col("id").cast("double")).alias("v"))
