@@ -9,14 +9,12 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Arrow batches hold at most so many rows; a batch of whole texts then stays small.
-BATCH_ROWS = 1024
-
 _own_dirs: dict[str, str] = {}
 
 
@@ -78,16 +76,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Cut a list of texts into runs of about ``most`` characters, whole texts each."""
+def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Cut a list into runs of about ``most`` in size."""
     start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most:
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
             yield start, i
             start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of about ``most`` characters, whole texts each."""
+    return runs([len(t) for t in texts], most)
 
 
 class Covered:
@@ -121,10 +124,9 @@ def map_texts(
 
     The function gets a list of texts (null reads as empty) and returns one list or array for
     each column of ``schema`` that is not in ``keep``. ``make`` runs once in each task.
-    Other columns of ``df`` are pruned before they reach Python.
+    Other columns of ``df`` are pruned before they reach Python. Arrow batches are bounded in bytes
+    by the session (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set).
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
     kinds = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(schema))}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +135,9 @@ def map_texts(
             if not batch.num_rows:
                 continue
             fn = fn or make()
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            for i, j in slices(texts, most):
-                got = fn(texts[i:j])
+            sizes = pc.fill_null(pc.binary_length(batch.column(len(keep))), 0).to_pylist()
+            for i, j in runs(sizes, most):
+                got = fn([t or "" for t in batch.column(len(keep)).slice(i, j - i).to_pylist()])
                 cols = [batch.column(k).slice(i, j - i) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(
                     cols + [pa.array(v, kinds[n]) for n, v in got.items()],

@@ -1,18 +1,18 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Test items are cut into word n-grams. Seeds are those whose words are together rare: the n-gram
-would be expected less than once by chance in a text of ordinary length, going by how often the
-words occur in the corpus (all documents are counted, a word once in each, so long copies don't make their
-own words common). An item of which fewer than half the n-grams are rare keeps all of them.
+Test items are cut into word n-grams. Seeds are the rare ones: those that at most one document in a
+thousand holds, and in any case the rarer half of each item, so that neither common words nor many
+copies of an item leave it without. All documents are counted.
 
 Seeds join training passages to items: a scan keeps the documents that hold an n-gram which passes
-a Bloom filter of the seeds, and a join by n-gram gives the pairs of a text and an item that share
-one. Verdicts depend on the text alone, so equal texts are aligned once. A text and an item are
-aligned word by word, locally, around the places of the shared seeds; the score is the share of
-the item that the best alignment covers, so exact, edited and shortened copies are found.
-
-The corpus is read twice, whatever the size of the benchmark. Bloom filters have a fixed size and
-are all that is sent to every task; beyond their reach they let more through, and results stay.
+a Bloom filter of the items' n-grams, with its places; these are counted, and a join by seed gives the
+pairs of a text and an item that share one. Verdicts depend on the text alone, so equal texts are
+aligned once. A text and an item are aligned word by word, locally, around the places of the shared
+seeds; the score is the share of the item that the best alignment covers, so exact, edited and
+shortened copies are found.
+
+The corpus is read once, whatever the size of the benchmark. The Bloom filter has a fixed size and is
+all that is sent to every task; beyond its reach it lets more through, and results stay.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, map_texts, slices, write_table
+from .common import drop_tables, map_texts, write_table
 
-#: Words of a seed; the least score; the text length for which seeds are rare.
-SEED, LEAST, ORDINARY = 3, 0.5, 1000
+#: Words of a seed; the least score; a seed is rare if no more than one document in so many has it.
+SEED, LEAST, RARE = 3, 0.5, 1000
 #: Scores of a match, a mismatch and a gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items with fewer words than this are only matched whole.
@@ -89,19 +89,6 @@ def align(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return best
 
 
-def seed_places(h: np.ndarray, p: np.ndarray, n: int = SEED) -> np.ndarray:
-    """The places of an item's seeds, from the share of the corpus that each of its words has."""
-    if len(h) < n:
-        return np.empty(0, np.int64)
-    chance = np.ones(len(h) - n + 1)
-    for j in range(n):
-        chance *= p[j : len(chance) + j]
-    rare = chance * ORDINARY < 1
-    if 2 * rare.sum() < len(rare):  # an item of common words, or one whose copies made them so
-        rare[:] = True
-    return np.flatnonzero(rare)
-
-
 def windows(offsets: Iterable[int], size: int, length: int) -> list[tuple[int, int]]:
     """Stretches of a text to align with an item of ``size`` words that may begin at ``offsets``."""
     out: list[tuple[int, int]] = []
@@ -170,58 +157,33 @@ class Filter:
 
 
 def _item_table(benchmark: DataFrame) -> DataFrame:
-    """item (a number of its own), item_id and words (hashes)."""
+    """item (a number of its own), item_id, words (hashes) and grams, in order."""
 
     def make():
         cache = _Ids()
-        return lambda texts: {"words": [hashes(t, cache).view(np.int64) for t in texts]}
-
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return write_table(map_texts(rows, "item_id long, words array<long>", make, keep=("item_id",)).withColumn("item", F.monotonically_increasing_id()), "items")
 
+        def fn(texts: list[str]) -> dict:
+            words_ = [hashes(t, cache) for t in texts]
+            return {"words": [h.view(np.int64) for h in words_], "grams": [ngrams(h, SEED).view(np.int64) for h in words_]}
 
-def _frequencies(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, int]:
-    """word and n, the documents that hold it, for the items' words; and the sum of n over all words."""
-    wanted = items.select(F.explode("words").alias("word")).distinct()
-    shared = bloom(wanted)
+        return fn
 
-    def run(batches):
-        own, cache, every = Filter(shared.value), _Ids(), 0
-        for b in batches:
-            texts = [t for t in b.column(0).to_pylist() if t]
-            for i, j in slices(texts, 1_000_000):
-                sets = [np.unique(hashes(t, cache)) for t in texts[i:j]]
-                every += sum(map(len, sets))
-                flat = np.concatenate(sets)
-                word, n = np.unique(flat[own.passes(flat)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([every], pa.int64())], names=["word", "n"])
-
-    counts = write_table(docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequencies")
-    every = counts.where("word is null").first()
-    return counts.where("word is not null"), max(1, every["n"] if every else 1)
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return write_table(map_texts(rows, "item_id long, words array<long>, grams array<long>", make, keep=("item_id",)).withColumn("item", F.monotonically_increasing_id()), "items")
 
 
-def _seed_table(items: DataFrame, counts: DataFrame, every: int) -> DataFrame:
+def _seed_table(items: DataFrame, found: DataFrame, n_docs: int) -> DataFrame:
     """item, gram and place of the seeds of all items."""
-    each = items.select("item", F.posexplode("words").alias("at", "word")).join(counts, "word", "left")
-    shares = each.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", (F.coalesce("n", F.lit(0)) / every).alias("p")))).alias("s"))
-    rows = items.join(shares, "item").select("item", "words", F.transform("s", lambda x: x["p"]).alias("p"))
-
-    def run(batches):
-        for b in batches:
-            for item, words_, p in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                h = words_.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                at = seed_places(h, p.values.to_numpy(zero_copy_only=False))
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(at), pa.int64()), pa.array(ngrams(h, SEED)[at].view(np.int64)), pa.array(at)], names=["item", "gram", "place"])
-
-    return write_table(rows.mapInArrow(run, "item long, gram long, place long"), "seeds")
+    counts = found.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    each = items.select("item", F.posexplode("grams").alias("place", "gram")).join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    half = each.groupBy("item").agg(F.percentile("n", F.lit(0.5)).alias("half"))
+    rare = (F.col("n") * RARE <= n_docs) | (F.col("n") <= F.col("half"))
+    return write_table(each.join(half, "item").where(rare).select("item", "gram", "place"), "seeds")
 
 
-def _candidates(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """doc_id, md5 of the text, text, and the n-grams that may be seeds with their places."""
-    shared = bloom(seeds.select("gram"))
+def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, md5 of the text, text, and the n-grams that items may have with their places."""
+    shared = bloom(items.select(F.explode("grams").alias("gram")).distinct())
 
     def run(batches):
         own, cache = Filter(shared.value), _Ids()
@@ -268,16 +230,16 @@ def _aligned(pairs: DataFrame, least: float) -> DataFrame:
 def _hits(docs: DataFrame, benchmark: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """The candidates, and md5, item_id and score of the texts that hold an item."""
     items = _item_table(benchmark)
-    counts, every = _frequencies(docs, items)
-    seeds = _seed_table(items, counts, every)
-    found = _candidates(docs, seeds)
-    texts = found.groupBy("md5").agg(*(F.first(c).alias(c) for c in ("text", "grams", "places")))
-    texts = write_table(texts, "texts")
-    held = texts.select("md5", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("md5", F.col("s.grams").alias("gram"), F.col("s.places").alias("at"))
+    found = _candidates(docs, items)
+    seeds = _seed_table(items, found, docs.count())
+    each = found.groupBy("md5").agg(F.first("grams").alias("grams"), F.first("places").alias("places"))
+    held = each.select("md5", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("md5", F.col("s.grams").alias("gram"), F.col("s.places").alias("at"))
     pairs = held.join(seeds, "gram").groupBy("md5", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("offsets"))
-    pairs = pairs.join(items, "item").join(texts.select("md5", "text"), "md5")
-    hits = write_table(_aligned(pairs, least).groupBy("md5", "item_id").agg(F.max("score").alias("score")), "hits")
-    drop_tables(items, seeds, texts)
+    pairs = write_table(pairs, "pairs")
+    texts = found.select("md5", "text").join(pairs.select("md5").distinct(), "md5", "left_semi").groupBy("md5").agg(F.first("text").alias("text"))
+    both = pairs.join(items.select("item", "item_id", "words"), "item").join(texts, "md5")
+    hits = write_table(_aligned(both, least).groupBy("md5", "item_id").agg(F.max("score").alias("score")), "hits")
+    drop_tables(items, seeds, pairs)
     return found, hits
 
 
