@@ -6,19 +6,28 @@ Spark scores it in rounds: a pattern's confidence in a kind is the share of its
 that are known to be of the kind, a value's score follows from the confidences of its patterns,
 and well-scored values count as known in the next round. Patterns of high confidence then mark
 identifiers that no fixed pattern covers. Strings with four or more digits enter the graph first; the
-patterns that then have enough known values are applied to the texts again, and whatever stands at
-their place, digits or not, is a value too and counts for or against them.
+patterns that then have enough known values are applied to the texts again (by a Bloom filter of
+fixed size, then exactly), and whatever stands at their place, digits or not, is a value too and
+counts for or against them.
+
+A context is made of whole words, parted by white space: what stands in the same word before or
+after the value counts as a word of its own. Words that aren't addresses and have over 200
+characters are cut into pieces at the signs of addresses, and each piece may be a value.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Covered, map_texts, write_table
+from .common import Covered, drop_tables, map_texts, write_table
+from .decontaminate import Filter, bloom
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -35,6 +44,12 @@ _TOKEN = re.compile(_PART)
 #: Longer strings are cut at the signs of addresses, and what is still longer into windows.
 LONGEST = 200
 _PIECE = re.compile(r"[^=&/?:()\[\]{}#]{1,200}")
+_GAP = re.compile(r"\S+")
+#: Signs after which a value may start inside a word; values that may have several words.
+_INSIDE = re.compile(r"\w[^\w\s]*[\"'<>|,;:=(\[{/?&#][^\w\s]*\w")
+_SEVERAL = re.compile(r"[\[(](?:at|dot)[\])]|[0-9][A-Za-z().+/-]* [A-Za-z().+/-]*[0-9]")
+#: Copies of a text's spans that the rows with this text are dealt over.
+SALTS = 16
 #: Confidence that a pattern needs, the known values it must surround, and the rounds.
 CONFIDENCE, SUPPORT, ROUNDS = 0.8, 8, 3
 
@@ -76,26 +91,48 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _word(w: str) -> str:
+def _text_key(text: str) -> str:
+    return str(xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")))
+
+
+def _word(text: str, a: int = 0, b: int | None = None) -> str:
+    """The word at a..b as contexts have it; of over 64 characters the ends count."""
+    b = len(text) if b is None else b
+    w = text[a:b] if b - a <= 64 else text[a : a + 32] + text[b - 32 : b]
     return _DIGIT.sub("0", w.lower().strip(".,;:!?()[]{}\"'*#$%&|"))
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The patterns around a span: the two words before it, and the words on both sides."""
-    before = [_word(w) for w in text[max(0, start - 60) : start].split()[-2:]]
-    after = [_word(w) for w in text[end : end + 40].split()[:1]]
-    out = []
-    if len(before) == 2:
-        out.append(f"{before[0]} {before[1]} _")
-    if before and after:
-        out.append(f"{before[-1]} _ {after[0]}")
-    return out
+class Words:
+    """The words of a text, parted by white space."""
+
+    def __init__(self, text: str):
+        self.text = text
+        spans = [m.span() for m in _GAP.finditer(text)]
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def word(self, i: int) -> str | None:
+        return _word(self.text, self.starts[i], self.ends[i]) if 0 <= i < len(self.starts) else None
+
+    def contexts(self, start: int, end: int) -> list[str]:
+        """The patterns around a span: the two words before it, and the words on both sides."""
+        i, j = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
+        before = [w for w in (self.word(i - 2), self.word(i - 1)) if w is not None]
+        if prefix := _word(self.text, self.starts[i], start):
+            before.append(prefix)
+        after = _word(self.text, end, self.ends[j]) or self.word(j + 1)
+        out = []
+        if len(before) >= 2:
+            out.append(f"1 {before[-2]} {before[-1]}")
+        if before and after is not None:
+            out.append(f"2 {before[-1]} {after}")
+        return out
 
 
-def _values(text: str) -> list[tuple[int, int]]:
+def _values(text: str, begin: int = 0, end: int | None = None) -> list[tuple[int, int]]:
     """The places of all strings that may be identifiers, in order, in linear time."""
-    found = [m.span() for m in _TOKEN.finditer(text)]
-    joined = [m.span() for m in _AT.finditer(text)] if "at" in text and ("[" in text or "(" in text) else []
+    end = len(text) if end is None else end
+    found = [m.span() for m in _TOKEN.finditer(text, begin, end)]
+    joined = [m.span() for m in _AT.finditer(text, begin, end)] if ("[" in text or "(" in text) and "at" in text else []
     out, last, j = [], False, 0
     for a, b in found:
         while j < len(joined) and joined[j][1] <= a:
@@ -117,30 +154,76 @@ def _values(text: str) -> list[tuple[int, int]]:
     return [(a, a + len(text[a:b].rstrip(".:!?)*#$%&"))) for a, b in out]
 
 
-def _scan(text: str, patterns: frozenset[str] | None = None) -> tuple[list, list]:
-    """The base spans, and strings that may be identifiers, with their contexts.
+def _many_digits(s: str) -> bool:
+    return len(_DIGIT.findall(s)) >= 4
 
-    These are strings with four or more digits; with ``patterns`` all others that one surrounds.
-    """
+
+def _scan(text: str) -> tuple[list, list]:
+    """The base spans, and strings with four or more digits, with their contexts."""
     base = base_spans(text)
-    seen = []
-    if patterns is None:
-        seen = [{"kind": k, "start": a, "end": b, "value": text[a:b], "patterns": contexts(text, a, b)} for k, a, b in base]
-        if not _DIGIT.search(text):
-            return [{"kind": k, "start": a, "end": b} for k, a, b in base], seen
-    elif not patterns:
-        return [], []
-    taken = Covered(base)
-    for a, b in _values(text):
-        s = text[a:b]
-        digits = len(_DIGIT.findall(s)) >= 4
-        if b > a and digits == (patterns is None) and not taken.meets(a, b):
-            own = contexts(text, a, b)
-            if patterns is None or not patterns.isdisjoint(own):
-                seen.append({"kind": "", "start": a, "end": b, "value": s, "patterns": own if patterns is None else [p for p in own if p in patterns]})
+    words = Words(text) if base or _DIGIT.search(text) else None
+    seen = [{"kind": k, "start": a, "end": b, "value": text[a:b], "patterns": words.contexts(a, b)} for k, a, b in base]
+    if words:
+        taken = Covered(base)
+        for a, b in _values(text):
+            if b > a and _many_digits(text[a:b]) and not taken.meets(a, b):
+                seen.append({"kind": "", "start": a, "end": b, "value": text[a:b], "patterns": words.contexts(a, b)})
     return [{"kind": k, "start": a, "end": b} for k, a, b in base], seen
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _key(kind: int | np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Numbers of patterns, from their words' hashes."""
+    return ((first * _ODD) ^ second ^ np.asarray(kind, np.uint64)) * _ODD
+
+
+class _Hashed(dict):
+    """For each word as it stands: its hash, and whether a value may start inside it."""
+
+    def __missing__(self, w: str) -> tuple[int, bool]:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[w] = xxhash.xxh3_64_intdigest(_word(w).encode("utf-8", "surrogatepass")), len(w) > LONGEST or bool(_INSIDE.search(w))
+        return found
+
+
+def _pattern_keys(patterns: list[str]) -> np.ndarray:
+    parts = [p.split(" ") for p in patterns]
+    first, second = (np.array([xxhash.xxh3_64_intdigest(p[i].encode("utf-8", "surrogatepass")) for p in parts], np.uint64) for i in (1, 2))
+    return _key(np.array([int(p[0]) for p in parts], np.uint64), first, second)
+
+
+def _surrounded(text: str, own: Filter, cache: _Hashed) -> list:
+    """Strings with fewer digits that a pattern of the filter surrounds, with these patterns."""
+    got = [cache[w] for w in _GAP.findall(text)]
+    if not got:
+        return []
+    h, inside = np.array([g[0] for g in got], np.uint64), np.array([g[1] for g in got])
+    begins = inside.copy()
+    begins[2 + own.passes(_key(1, h[:-2], h[1:-1]))] = True
+    begins[1 + own.passes(_key(2, h[:-2], h[2:]))] = True
+    # a value of several words has its next word further on
+    whole = bool(_SEVERAL.search(text))
+    if not whole and not begins.any():
+        return []
+    words, base = Words(text), Covered(base_spans(text))
+    every = _values(text) if whole else [v for i in np.flatnonzero(begins).tolist() for v in _values(text, words.starts[i], words.ends[i])]
+    every = [(a, b) for a, b in every if b > a and not _many_digits(text[a:b]) and not base.meets(a, b)]
+    around = [words.contexts(a, b) for a, b in every]
+    flat = [p for own_ in around for p in own_]
+    good = np.zeros(len(flat), bool)
+    good[own.passes(_pattern_keys(flat))] = True
+    seen, at = [], 0
+    for (a, b), patterns in zip(every, around, strict=True):
+        kept = [p for k, p in enumerate(patterns, at) if good[k]]
+        at += len(patterns)
+        if kept:
+            seen.append({"kind": "", "start": a, "end": b, "value": text[a:b], "patterns": kept})
+    return seen
+
+
 def bootstrap(strings: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """pattern, kind and confidence of the patterns that rounds of scoring leave trusted.
 
@@ -165,49 +248,71 @@ def bootstrap(strings: DataFrame, confidence: float = CONFIDENCE, support: int =
 def find_pii(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, ``base`` (kind, start, end) and ``more`` (the same, kinds ``like_<kind>``) for each row.
 
-    Places are code points, end exclusive. Null and empty texts have no spans; rows with the same
-    doc_id and text have the same.
+    Places are code points, end exclusive. Null and empty texts have no spans; long texts are read
+    whole. Repeated rows and rows without a doc_id have their own result each; rows with the same
+    text have the same spans and count once in the graph. Of patterns that surround one string the
+    one of most confidence names its kind, ties going to the later name. An empty table gives no
+    rows; further columns are ignored, whatever their names.
     """
 
-    def make_with(patterns):
-        def make():
-            own = None if patterns is None else patterns.value
+    def first():
+        def fn(texts: list[str]) -> dict:
+            got = [_scan(t) for t in texts]
+            return {"key": [_text_key(t) for t in texts], "base": [g[0] for g in got], "strings": [g[1] for g in got]}
+
+        return fn
 
-            def fn(texts: list[str]) -> dict:
-                got = [_scan(t, own) for t in texts]
-                key = [str(xxhash.xxh3_128_hexdigest(t.encode("utf-8", "surrogatepass"))) for t in texts]
-                return {"key": key} | ({"base": [g[0] for g in got]} if own is None else {}) | {"strings": [g[1] for g in got]}
+    def second():
+        own, cache = Filter(shared.value), _Hashed()
 
-            return fn
+        def fn(texts: list[str]) -> dict:
+            return {"key": [_text_key(t) for t in texts], "strings": [_surrounded(t, own, cache) for t in texts]}
 
-        return make
+        return fn
 
     span = "struct<kind: string, start: long, end: long>"
-    strings = "strings array<struct<kind: string, start: long, end: long, value: string, patterns: array<string>>>"
-    scanned = write_table(map_texts(docs, f"doc_id long, key string, base array<{span}>, {strings}", make_with(None)), "scan")
-    each = lambda df: df.where(F.size("strings") > 0).select("key", F.explode("strings").alias("s")).select("key", "s.*")
-    first = each(scanned)
+    string = "struct<kind: string, start: long, end: long, value: string, patterns: array<string>>"
+    scanned = write_table(map_texts(docs, f"doc_id long, key string, base array<{span}>, strings array<{string}>", first), "scan")
+    each = lambda df: df.where(F.size("strings") > 0).select("key", F.explode("strings").alias("s")).select("key", "s.*").distinct()
+    seen = write_table(each(scanned), "strings")
     # only patterns with enough known values can be trusted: those of seeds, and of what these lead to
-    seeded = first.where("kind <> ''").select("value", F.explode("patterns").alias("pattern")).distinct().groupBy("pattern").count().where(F.col("count") >= support)
-    able = seeded.select("pattern").union(bootstrap(first, confidence, support, rounds).select("pattern")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["pattern"] for r in able.collect()))
-    others = write_table(map_texts(docs, f"doc_id long, key string, {strings}", make_with(shared)), "others")
-    every = first.unionByName(each(others))
+    seeded = seen.where("kind <> ''").select("value", F.explode("patterns").alias("pattern")).distinct().groupBy("pattern").count().where(F.col("count") >= support)
+    able = seeded.select("pattern").union(bootstrap(seen, confidence, support, rounds).select("pattern")).distinct()
+
+    def keys(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_pattern_keys(b.column(0).to_pylist()).view(np.int64))], names=["key"])
+
+    shared = bloom(able.mapInArrow(keys, "key long"))
+    others = map_texts(docs, f"doc_id long, key string, strings array<{string}>", second)
+    # what passed the filter, less what isn't one of the patterns
+    others = each(others).withColumn("pattern", F.explode("patterns")).drop("patterns").join(able, "pattern")
+    others = others.groupBy("key", "kind", "start", "end", "value").agg(F.array_sort(F.collect_set("pattern")).alias("patterns"))
+    every = write_table(seen.unionByName(others), "every")
     trusted = bootstrap(every, confidence, support, rounds)
     fresh = every.where("kind = ''").select("key", "start", "end", F.explode("patterns").alias("pattern"))
     fresh = fresh.join(trusted.withColumnRenamed("kind", "as"), "pattern")
     best = fresh.groupBy("key", "start", "end").agg(F.max(F.struct("confidence", "as")).alias("b"))
     more = best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.concat(F.lit("like_"), "b.as").alias("kind")))).alias("more"))
     more = more.select("key", F.transform("more", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("more"))
+    more = write_table(more, "more")
+    drop_tables(seen, every)
     none = F.array().cast(f"array<{span}>")
-    return scanned.select("doc_id", "key", "base").join(more, "key", "left").select("doc_id", "base", F.coalesce("more", none).alias("more"))
+    # many rows may share a text: they are dealt over copies of its spans
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    left = scanned.select("doc_id", "key", "base", salt.alias("salt"))
+    right = more.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, ["key", "salt"], "left").select("doc_id", "base", F.coalesce("more", none).alias("more"))
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, a hash of the base spans, and all spans as text."""
+    """doc_id, counts of the base kinds, a hash of the base spans, all spans as text, and their number.
+
+    Null and empty texts have counts of 0 and the hash of nothing; the rest is as in ``find_pii``.
+    """
     got = find_pii(docs)
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.array_join(F.transform("base", line), ",")
     every = F.array_join(F.transform(F.concat("base", "more"), line), ",")
-    return got.select("doc_id", *(count(k) for k in KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"), every.alias("spans"))
+    return got.select("doc_id", *(count(k) for k in KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"), every.alias("spans"), (F.size("base") + F.size("more")).cast("long").alias("n_spans"))
