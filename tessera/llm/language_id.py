@@ -11,7 +11,7 @@ products: with the landmarks' matrix, then with the weights.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, map_texts
@@ -101,19 +101,22 @@ def identify_languages(docs: DataFrame, folds: int = 4, held: int = 2, most_rows
     """doc_id, held_out, lang_pred and score for each row of ``docs``.
 
     The text alone decides. Languages are learnt from rows with a language and a text whose
-    crc32(doc_id) mod ``folds`` isn't ``held``: about ``most_rows`` of each language, by a hash
-    of the id. Null texts and texts without letters are ``und`` with score 0; without any learnt
-    language so are all.
+    crc32(doc_id) mod ``folds`` isn't ``held``: at most ``most_rows`` of each language, the first by a
+    hash of id and text, so ties and the order of rows don't matter. Null texts and texts without
+    letters are ``und`` with score 0; without any learnt language so are all. Long texts are read
+    whole; each of repeated rows has a row; rows without a doc_id are predicted, not learnt and not
+    held out. An empty table gives no rows; further columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     learn = docs.where("doc_id is not null and lang is not null and text is not null").where(crc_bucket("doc_id", folds) != held)
-    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    bound = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        bound = F.when(F.col("lang") == lang, int(1_000_000 * min(1.0, most_rows / n)) + (n <= most_rows)).otherwise(bound)
-    rows = learn.where(spread < bound).select("doc_id", "text", "lang").limit(2 * most_rows * max(1, len(counts))).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    # ids first: a window over texts would carry all of them
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    keyed = learn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("doc_id", "text").alias("h"))
+    least = keyed.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most_rows).select("doc_id", "lang", "h").collect()
+    bounded = spark.createDataFrame([tuple(r) for r in least], "i long, l string, k long").distinct()
+    same = (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l")) & (F.xxhash64("doc_id", "text") == F.col("k"))
+    rows = learn.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(F.broadcast(bounded), same, "left_semi").distinct().collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))
     shared = spark.sparkContext.broadcast(KernelLanguages([r["text"] for r in rows], [r["lang"] for r in rows]))
 
     def make():

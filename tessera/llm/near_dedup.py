@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, write_table
+from .common import drop_tables, map_texts, write_table
 
 #: Registers of a sketch, in bands of so many; base and truncation of the register values.
 BANDS, ROWS = 24, 5
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 #: Larger buckets are compared block against block, in blocks of about so many; the rest list their pairs.
 LARGE, BLOCK = 128, 512
+#: Pairs of one hub that share a copy of its set, about.
+HUB = 256
 #: An estimate so far below the threshold leaves a pair out: over four standard deviations.
 MARGIN = 0.15
 
@@ -141,19 +143,15 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return map_texts(docs, "doc_id long, shingles array<long>", make)
 
 
-def _similar(a: str, b: str, n_a: str, n_b: str, percent: int):
-    both = F.size(F.array_intersect(a, b)).cast("long")
-    return 100 * both >= percent * (F.col(n_a) + F.col(n_b) - both)
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and its component (the least node reachable), for the nodes that edges (a, b) touch.
 
     Large-star and small-star steps alternate; each keeps the edges about as many as they were,
-    and each node's neighbours are reduced by minima that combine before the shuffle.
+    and each node's neighbours are reduced by minima that combine before the shuffle. Rounds go on
+    until every edge ends at its component's least node, which comes after about log n of them.
     """
     now = write_table(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    for _ in range(most_rounds):
+    while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -164,11 +162,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # done when every edge is a star: one edge up from each node, and none through it
         ends = new.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(new.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low")))
         ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low"))
+        drop_tables(now)
         now = new
         if not ends.where("up > 1 or up = 1 and low = 1").limit(1).count():
             break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
@@ -221,9 +218,16 @@ def _block_links(percent: int):
 
 
 def _held(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs with their intersection ``both`` and the sizes ``n`` and ``n_b`` of the full sets."""
-    side = pairs.join(full.withColumnRenamed("doc", "a"), "a")
-    side = side.join(full.select(F.col("doc").alias("b"), F.col("shingles").alias("shingles_b"), F.col("n").alias("n_b")), "b")
+    """The pairs with their intersection ``both`` and the sizes ``n`` and ``n_b`` of the full sets.
+
+    A document in many pairs is ``b`` (a hub); its set goes out in a copy for each HUB pairs or so,
+    over which they are dealt, so no task has all members of a large group.
+    """
+    many = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / HUB).cast("int").alias("copies"))
+    dealt = pairs.join(many, pairs["b"] == many["hub"]).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).select("a", "b", "salt")
+    hubs = many.join(full, many["hub"] == full["doc"]).select("hub", F.col("shingles").alias("shingles_b"), F.col("n").alias("n_b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    side = dealt.join(full.withColumnRenamed("doc", "a"), "a")
+    side = side.join(hubs, (side["b"] == hubs["hub"]) & (side["salt"] == hubs["copy"]))
     return side.select("a", "b", "n", "n_b", F.size(F.array_intersect("shingles", "shingles_b")).cast("long").alias("both"))
 
 
@@ -240,8 +244,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Two documents are linked when ``100 * |A & B| >= percent * |A | B|`` for their sets of
     distinct ``k``-word shingles. Null, empty and blank texts have an empty set and no links;
     the component of a document is the smallest doc_id reachable. Rows with the same doc_id are
-    one document that has each row's links; rows without doc_id stay single and are kept.
-    Further columns are ignored.
+    one document that has each row's links; rows without doc_id stay single and are kept. Ties don't
+    arise: of documents alike the least doc_id stands for all. Long texts are read whole; an empty
+    table gives no rows; further columns are ignored, whatever their names.
     """
     linked = 100 * F.col("both") >= percent * (F.col("n") + F.col("n_b") - F.col("both"))
     sketched = write_table(sketch_documents(docs, k), "sketches")

@@ -108,7 +108,10 @@ def _coder(path: str) -> Callable[[str], int]:
 def find_secrets(docs: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """For each row: its ``keep`` columns and ``spans``, an array of (kind, start, end, text).
 
-    Places are code points, end exclusive. Null and empty texts have no spans.
+    Places are code points, end exclusive. Null and empty texts have no spans; long texts are read
+    whole. Repeated rows and rows without a doc_id have their own spans each, equal texts equal ones;
+    overlapping spans of different kinds all stand, in order of start, then kind. An empty table gives
+    no rows; further columns are ignored, whatever their names.
     """
 
     def make():
@@ -121,7 +124,10 @@ def find_secrets(docs: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc
 
 
 def secret_digest(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, counts of the base kinds, a hash of the base spans, and all spans as text."""
+    """doc_id, counts of the kinds, a hash of the base spans, and all spans as text.
+
+    Null and empty texts have counts of 0 and the hash of nothing; the rest is as in ``find_secrets``.
+    """
     got = find_secrets(docs, ranks_path)
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -137,13 +143,14 @@ def secret_digest(docs: DataFrame, ranks_path: str) -> DataFrame:
 def redact(docs: DataFrame, ranks_path: str, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of a secret replaced; overlapping spans become one mark.
 
-    Texts without secrets and null texts stay as they are; ``n_chars`` follows the text.
+    Texts without secrets, null and empty texts stay as they are; ``n_chars`` follows the text. All
+    rows (repeated ones and those without a doc_id too) and columns stay, whatever their names;
+    long texts are cleaned whole; an empty table stays empty.
     """
     import pyarrow as pa
 
     schema = docs.schema
     at = docs.columns.index("text")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
     def clean(text: str | None, tokens) -> str | None:
         if not text:

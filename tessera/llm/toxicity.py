@@ -1,7 +1,8 @@
 """A convolutional text classifier for toxicity.
 
-Words are hashed to 32 bits; the hashes that occur in enough training documents have embeddings,
-the others share one. Filters of widths 1, 2 and 3 run over the word embeddings, each filter's
+Words are hashed to 32 bits; the hashes that occur in enough training documents have embeddings.
+Other words take that of their longest beginning that does, so new compounds are known by their
+stems; what is left shares one. Filters of widths 1, 2 and 3 run over the word embeddings, each filter's
 largest response over the whole text is kept, and a logistic layer makes the score. Training is
 plain numpy on a bounded sample of labelled rows (``most_rows``, by a hash of the id). Scores are
 calibrated on a part that the filters have not seen, so that 0.5 is the best cut overall, and a
@@ -23,7 +24,9 @@ from .common import crc_bucket, map_texts
 
 DIM, FILTERS, WIDTHS = 12, 4, (1, 2, 3)
 #: Labelled rows that are fitted at most, and the documents a hash must be in for an embedding.
-MOST_ROWS, MIN_DOCS = 3000, 8
+MOST_ROWS, MIN_DOCS = 5000, 6
+#: Bytes of a word's beginnings that are hashed too.
+STEMS = (8, 6, 5, 4)
 EPOCHS, RATE = 10, 0.06
 
 _SPACE = bytes(32 if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) else c for c in range(256))
@@ -34,6 +37,11 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_SPACE).split()
 
 
+def hashes(word: bytes) -> list[int]:
+    """Of the word, then of its beginnings, longest first."""
+    return [zlib.crc32(word), *(zlib.crc32(b"_" + word[:n]) for n in STEMS if len(word) > n)]
+
+
 class _Rows(dict):
     """Embedding row of a word; 0 for the rest."""
 
@@ -44,7 +52,7 @@ class _Rows(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        found = self[word] = self.known.get(zlib.crc32(word), 0)
+        found = self[word] = next((self.known[h] for h in hashes(word) if h in self.known), 0)
         return found
 
 
@@ -159,9 +167,8 @@ class TextCNN:
 
         if 0 < y.sum() < len(y):
             self.shift = cut(logits, y)
-        langs = np.array([str(v) for v in langs])
-        for lang in np.unique(langs):
-            own = langs == lang
+        for lang in {*langs}:
+            own = np.array([v == lang for v in langs])
             if 5 <= y[own].sum() < own.sum():
                 self.thresholds[lang] = float(1 / (1 + np.exp(-np.clip(cut(logits[own], y[own]) - self.shift, -30, 30))))
 
@@ -176,10 +183,9 @@ def train(rows: list, seed: int = 17) -> TextCNN:
     """Fit on rows (text, toxic, lang, part); rows of part 0 calibrate."""
     import collections
 
-    hashed = [np.fromiter((zlib.crc32(w) for w in words(r["text"] or "")), np.uint32) for r in rows]
     df = collections.Counter()
-    for h in hashed:
-        df.update(np.unique(h).tolist())
+    for r in rows:
+        df.update({h for w in {*words(r["text"] or "")} for h in hashes(w)})
     model = TextCNN(np.array(sorted(h for h, n in df.items() if n >= MIN_DOCS), np.uint32), seed)
     cache = _Rows(model.hashes)
     docs = model.rows([r["text"] or "" for r in rows], cache)
@@ -199,24 +205,26 @@ def train(rows: list, seed: int = 17) -> TextCNN:
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = MOST_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted, threshold and flagged for each row of ``docs``.
 
-    Labels are learnt only from rows whose crc32(doc_id) mod ``folds`` isn't 0, from at most about
-    ``most_rows`` of them. A score depends on the text alone; ``threshold`` is the one of the row's
-    language (0.5 where too few labels calibrate it) and ``flagged`` applies it. Null and empty
-    texts get the score of no words. Labels that are null or contradict each other for one doc_id
-    count once as their larger value; without any labels all scores are below 0.5.
+    Labels are learnt only from rows whose crc32(doc_id) mod ``folds`` isn't 0, from at most
+    ``most_rows`` of them, the first by a hash of the id. A score depends on the text alone;
+    ``threshold`` is the one of the row's language (0.5 where too few labels calibrate it; null is a
+    language of its own) and ``flagged`` applies it. Null and empty texts get the score of no words;
+    long texts are scored whole. Each of repeated rows is scored; of rows that share a labelled
+    doc_id the least text is learnt, so ties don't matter. A null doc_id is never learnt and not held
+    out. Labels that are null don't count, those that contradict each other for one doc_id count
+    once as their larger value; without any labels all scores are below 0.5. An empty table gives no
+    rows; further columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(crc_bucket("doc_id", folds) != 0)
-    n = max(1, known.count())
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    known = known.where(spread < int(1_000_000 * min(1.0, most_rows / n)) + (most_rows >= n))
-    # the sample is bounded, so its ids can go to every task
-    ids = [r["doc_id"] for r in known.select("doc_id").limit(2 * most_rows).collect()]
-    bounded = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    text = docs.select("doc_id", "text", "lang") if "lang" in docs.columns else docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
-    text = text.join(F.broadcast(bounded), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = text.join(known, "doc_id").select("doc_id", "text", "lang", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)).alias("part")).limit(2 * most_rows).collect()
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+    # at most most_rows ids are sent to all tasks
+    first = known.join(text.select("doc_id").distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).toPandas()
+    bounded = spark.createDataFrame([(int(i), int(t)) for i, t in zip(first["doc_id"], first["toxic"], strict=True)], "doc_id long, toxic int")
+    each = text.join(F.broadcast(bounded), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x"))
+    rows = each.select("doc_id", "toxic", "x.text", "x.lang", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)).alias("part")).collect()
     model = train(sorted(rows, key=lambda r: r["doc_id"]))
     shared = spark.sparkContext.broadcast(model)
 
@@ -229,7 +237,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int
     out = map_texts(docs, "doc_id long, lang string, score double" if has_lang else "doc_id long, score double", make, keep=keep)
     threshold = F.lit(0.5)
     for lang, value in (model.thresholds.items() if has_lang else ()):
-        threshold = F.when(F.coalesce("lang", F.lit("None")) == lang, value).otherwise(threshold)
+        threshold = F.when(F.col("lang").eqNullSafe(F.lit(lang)), value).otherwise(threshold)
     return out.select(
         "doc_id",
         (crc_bucket("doc_id", folds) == 0).alias("held_out"),
