@@ -87,13 +87,21 @@ class TextCNN:
         pad = np.zeros(max(WIDTHS) - 1, np.int32)
         lengths = np.fromiter((len(d) + len(pad) for d in docs), np.int64, len(docs))
         flat = np.concatenate([x for d in docs for x in (d, pad)])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        shifted = [flat]  # the word so many places on; beyond a text's end stands padding
+        for k in range(1, max(WIDTHS)):
+            on = np.zeros_like(flat)
+            on[:-k] = flat[k:]
+            for j in range(1, k + 1):
+                on[ends - j] = 0
+            shifted.append(on)
         best, responses = [], []
         for table in tables:
             for c in range(FILTERS):
                 resp = table[0, c][flat]
                 for k in range(1, len(table)):
-                    resp[:-k] += table[k, c][flat[k:]]
+                    resp += table[k, c][shifted[k]]
                 best.append(np.maximum.reduceat(resp, starts))
                 responses.append(resp)
         return np.stack(best, 1), (flat, starts, lengths, responses)
@@ -141,7 +149,7 @@ class TextCNN:
                         g, resp = back[:, i * FILTERS + c], responses[i * FILTERS + c]
                         for b in np.flatnonzero(g):
                             at = starts[b] + int(resp[starts[b] : starts[b] + lengths[b]].argmax())
-                            for k, r in enumerate(flat[at : at + len(f)]):
+                            for k, r in enumerate(flat[at : min(at + len(f), starts[b] + lengths[b])]):
                                 grads[1 + i][k, :, c] += g[b] * emb[r]
                                 if r:
                                     grads[0][r] += g[b] * f[k, :, c]
