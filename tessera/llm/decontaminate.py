@@ -203,6 +203,17 @@ def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     return write_table(rows.mapInArrow(run, "doc_id long, md5 string, text string, grams array<long>, places array<long>"), "candidates")
 
 
+def _passing(texts: DataFrame, shared) -> DataFrame:
+    """The rows of (md5, text) whose md5 passes a Bloom filter."""
+
+    def run(batches):
+        own = Filter(shared.value)
+        for b in batches:
+            yield b.take(pa.array(own.passes(b.column(2).to_numpy().view(np.uint64)))).select(["md5", "text"])
+
+    return texts.select("md5", "text", F.xxhash64("md5").alias("h")).mapInArrow(run, "md5 string, text string")
+
+
 def _aligned(pairs: DataFrame, least: float) -> DataFrame:
     """md5, item_id and score of the pairs of a text and an item that align well enough."""
 
@@ -236,7 +247,10 @@ def _hits(docs: DataFrame, benchmark: DataFrame, least: float) -> tuple[DataFram
     held = each.select("md5", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("md5", F.col("s.grams").alias("gram"), F.col("s.places").alias("at"))
     pairs = held.join(seeds, "gram").groupBy("md5", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("offsets"))
     pairs = write_table(pairs, "pairs")
-    texts = found.select("md5", "text").join(pairs.select("md5").distinct(), "md5", "left_semi").groupBy("md5").agg(F.first("text").alias("text"))
+    wanted = pairs.select("md5").distinct()
+    texts = _passing(found.select("md5", "text"), bloom(wanted.select(F.xxhash64("md5").alias("h"))))
+    # by shuffle at every size: few texts pass that aren't wanted
+    texts = texts.join(wanted.hint("merge"), "md5", "left_semi").groupBy("md5").agg(F.first("text").alias("text"))
     both = pairs.join(items.select("item", "item_id", "words"), "item").join(texts, "md5")
     hits = write_table(_aligned(both, least).groupBy("md5", "item_id").agg(F.max("score").alias("score")), "hits")
     drop_tables(items, seeds, pairs)
