@@ -208,9 +208,9 @@ _SWEPT = range(20, 51, 5)
 SQL["minhash_signatures"] = f"WITH {_SIGNED} SELECT doc_id, i, low FROM signed"
 SQL["lsh_recall"] = f"WITH {_SIGNED}, {_banded(20)} SELECT round({_recall(20)}, 6) AS recall"
 SQL["band_sweep"] = f"WITH {_SIGNED}, {', '.join(map(_banded, _SWEPT))} " + " UNION ALL ".join(f"SELECT {b} AS bands, round(coalesce({_recall(b)}, 0.0), 6) AS recall" for b in _SWEPT)
-SQL["minhash_error"] = f"""WITH {_SIGNED}, {_banded(100)}
+SQL["minhash_error"] = f"""WITH {_SIGNED}, {_banded(30)}
 SELECT round(sqrt(avg(power(coalesce(j.jaccard, 0.0) - len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / {HASHES}.0, 2))), 6) AS rmse
-FROM found100 p JOIN signature x ON p.a = x.doc_id JOIN signature y ON p.b = y.doc_id LEFT JOIN alike j ON p.a = j.a AND p.b = j.b"""
+FROM found30 p JOIN signature x ON p.a = x.doc_id JOIN signature y ON p.b = y.doc_id LEFT JOIN alike j ON p.a = j.a AND p.b = j.b"""
 SQL["bounded_input"] = "SELECT doc_id, length(text) AS n FROM documents ORDER BY doc_id LIMIT 1000"
 
 SQL["parsed_ratings"] = f'WITH {_RATINGS} SELECT "user" - 1 AS "user", item - 1 AS item, rating FROM ratings'

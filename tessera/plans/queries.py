@@ -14,7 +14,7 @@ from ..streaming import words as streams
 from . import inputs
 
 QUERIES: dict = {}
-SUPPORT, CONFIDENCE, ROUNDS, HASHES = 0.002, 0.15, 5, 1000
+SUPPORT, CONFIDENCE, ROUNDS, HASHES = 0.002, 0.15, 5, 300
 
 
 def query(f):
@@ -173,7 +173,7 @@ def _docs(spark, sf):
 
 @query
 def minhash_signatures(spark, sf):
-    """Each document's minimum under each of 1,000 hash functions."""
+    """Each document's minimum under each of 300 hash functions."""
     numbers = similarity.numbered(similarity.shared_shingles(similarity.document_shingles(_docs(spark, sf))))
     return similarity.minhash(numbers, HASHES).select("doc_id", F.posexplode("signature").alias("i", "low"))
 
@@ -214,7 +214,7 @@ def minhash_error(spark, sf):
     """How far MinHash estimates are from exact similarities, over the candidate pairs."""
     shared = similarity.shared_shingles(similarity.document_shingles(_docs(spark, sf)))
     signatures = similarity.minhash(similarity.numbered(shared), HASHES)
-    pairs = similarity.candidate_pairs(signatures, 100)
+    pairs = similarity.candidate_pairs(signatures, 30)
     held = similarity.with_pairs(similarity.with_pairs(pairs, similarity.shingle_sets(shared), "set"), signatures, "signature")
     error = similarity.estimate_error(held.select(similarity.jaccard(F.col("set_a"), F.col("set_b")).alias("jaccard"), similarity.agreement(F.col("signature_a"), F.col("signature_b")).alias("minhash")))
     return error.select(F.round("rmse", 6).alias("rmse"))
