@@ -44,9 +44,7 @@ _TOKEN = re.compile(_PART)
 #: Longer strings are cut at the signs of addresses, and what is still longer into windows.
 LONGEST = 200
 _PIECE = re.compile(r"[^=&/?:()\[\]{}#]{1,200}")
-_GAP = re.compile(r"\S+")
-#: Signs after which a value may start inside a word; values that may have several words.
-_INSIDE = re.compile(r"\w[^\w\s]*[\"'<>|,;:=(\[{/?&#][^\w\s]*\w")
+#: Values that may have several words.
 _SEVERAL = re.compile(r"[\[(](?:at|dot)[\])]|[0-9][A-Za-z().+/-]* [A-Za-z().+/-]*[0-9]")
 #: Copies of a text's spans that the rows with this text are dealt over.
 SALTS = 16
@@ -95,20 +93,119 @@ def _text_key(text: str) -> str:
     return str(xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")))
 
 
+#: Signs that a context's words lose at their ends.
+_ENDS = ".,;:!?()[]{}\"'*#$%&|"
+#: Signs after which a value may start inside a word.
+_SIGNS = "\"'<>|,;:=([{/?&#"
+
+
+def _lower(c: str) -> str:
+    low = c.lower()
+    return low if len(low) == 1 else c
+
+
 def _word(text: str, a: int = 0, b: int | None = None) -> str:
     """The word at a..b as contexts have it; of over 64 characters the ends count."""
     b = len(text) if b is None else b
     w = text[a:b] if b - a <= 64 else text[a : a + 32] + text[b - 32 : b]
-    return _DIGIT.sub("0", w.lower().strip(".,;:!?()[]{}\"'*#$%&|"))
+    return _DIGIT.sub("0", "".join(map(_lower, w)).strip(_ENDS))
+
+
+def _tables() -> dict[str, np.ndarray]:
+    """What characters are, by code point up to 0xFFFF; those above are letters."""
+    n = 0x10000
+    norm = np.arange(n, dtype=np.uint64)
+    for c in range(n):
+        if not 0xD800 <= c < 0xE000:
+            norm[c] = ord(_lower(chr(c)))
+    norm[48:58] = 48
+    flags = {k: np.zeros(n, bool) for k in ("space", "ends", "digit", "sign")}
+    flags["space"][[c for c in range(0x3001) if chr(c).isspace()]] = True
+    flags["ends"][[ord(c) for c in _ENDS]] = True
+    flags["sign"][[ord(c) for c in _SIGNS]] = True
+    flags["digit"][48:58] = True
+    return flags | {"norm": norm}
+
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+class Table:
+    """The words of several texts: where they stand, hashes of them as contexts have them, and their digits.
+
+    ``starts`` and ``ends`` are places in their own text; ``text`` is its number.
+    """
+
+    chars: dict[str, np.ndarray] = {}
+
+    def __init__(self, texts: list[str]):
+        if not self.chars:
+            self.chars.update(_tables())
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        first = np.cumsum(lengths) - lengths
+        raw = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.minimum(raw, 0xFFFF)
+        space = self.chars["space"][code]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+        begin, end = edge[::2], edge[1::2]
+        self.text = np.searchsorted(first, begin, "right") - 1
+        self.starts, self.ends = begin - first[self.text], end - first[self.text]
+        self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
+        self._parts = texts, raw, code, space, begin, end
+        digits = np.concatenate([[0], np.cumsum(self.chars["digit"][code])])
+        self.digits = digits[end] - digits[begin]
+        # signs inside a word, and words too long to be one value
+        sign = self.chars["sign"][code]
+        inner = np.zeros(len(code) + 1, np.int64)
+        inner[2:-1] = np.cumsum(sign[1:-1] & ~space[:-2] & ~space[2:]) if len(code) > 2 else 0
+        inner[-1] = inner[-2] if len(code) > 1 else 0
+        self.inside = (inner[end] - inner[begin] > 0) | (end - begin > LONGEST)
+
+
+    def hashes(self) -> np.ndarray:
+        """A word's hash: of its characters without the signs at its ends."""
+        texts, raw, code, space, begin, end = self._parts
+        kept = np.flatnonzero(~(self.chars["ends"][code] | space))
+        if not len(kept):
+            return np.zeros(len(begin), np.uint64)
+        low, high = np.searchsorted(kept, begin), np.searchsorted(kept, end)
+        some = high > low
+        a = np.where(some, kept[np.minimum(low, len(kept) - 1)], 0)
+        b = np.where(some, kept[np.maximum(high - 1, 0)] + 1, 0)
+        norm = self.chars["norm"][code]
+        far = np.flatnonzero(raw >= 0x10000)
+        norm[far] = [ord(_lower(chr(c))) for c in raw[far].tolist()]
+        out = _hashed(norm, a, b)
+        for i in np.flatnonzero(end - begin > 64).tolist():  # of long words the ends count
+            out[i] = word_hash(_word(texts[self.text[i]], int(self.starts[i]), int(self.ends[i])))
+        return out
+
+
+def _hashed(norm: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches a..b."""
+    out = np.zeros(len(a), np.uint64)
+    longest = int((b - a).max(initial=0))
+    order = np.argsort(a - b, kind="stable")
+    alive = np.searchsorted((a - b)[order], -np.arange(1, min(longest, 64) + 1), "right")
+    for k, n in enumerate(alive.tolist()):
+        at = order[:n]
+        out[at] = out[at] * np.uint64(_BASE) + norm[a[at] + k] + np.uint64(1)
+    return out
+
+
+def word_hash(word: str) -> int:
+    """The same hash of a word as contexts have it."""
+    out = 0
+    for c in word[:64]:
+        out = (out * _BASE + ord(c) + 1) % 2**64
+    return out
 
 
 class Words:
     """The words of a text, parted by white space."""
 
-    def __init__(self, text: str):
-        self.text = text
-        spans = [m.span() for m in _GAP.finditer(text)]
-        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
+        self.text, self.starts, self.ends = text, starts.tolist(), ends.tolist()
 
     def word(self, i: int) -> str | None:
         return _word(self.text, self.starts[i], self.ends[i]) if 0 <= i < len(self.starts) else None
@@ -158,17 +255,31 @@ def _many_digits(s: str) -> bool:
     return len(_DIGIT.findall(s)) >= 4
 
 
-def _scan(text: str) -> tuple[list, list]:
-    """The base spans, and strings with four or more digits, with their contexts."""
-    base = base_spans(text)
-    words = Words(text) if base or _DIGIT.search(text) else None
-    seen = [{"kind": k, "start": a, "end": b, "value": text[a:b], "patterns": words.contexts(a, b)} for k, a, b in base]
-    if words:
-        taken = Covered(base)
-        for a, b in _values(text):
-            if b > a and _many_digits(text[a:b]) and not taken.meets(a, b):
-                seen.append({"kind": "", "start": a, "end": b, "value": text[a:b], "patterns": words.contexts(a, b)})
-    return [{"kind": k, "start": a, "end": b} for k, a, b in base], seen
+def _scan(texts: list[str]) -> list[tuple[list, list]]:
+    """For each text the base spans, and strings with four or more digits, with their contexts."""
+    spans = [base_spans(t) for t in texts]
+    asked = [i for i, t in enumerate(texts) if spans[i] or _DIGIT.search(t)]
+    out: list[tuple[list, list]] = [([], []) for _ in texts]
+    table = Table([texts[i] for i in asked])
+    for i, at in enumerate(asked):
+        text, base, seen = texts[at], spans[at], []
+        own = slice(table.first[i], table.first[i + 1])
+        numbers = np.flatnonzero(table.digits[own])
+        if len(numbers):
+            words, taken = Words(text, table.starts[own], table.ends[own]), Covered(base)
+            seen = [{"kind": k, "start": a, "end": b, "value": text[a:b], "patterns": words.contexts(a, b)} for k, a, b in base]
+            if _SEVERAL.search(text):
+                places = _values(text)
+            else:
+                places = [v for j in numbers.tolist() for v in _values(text, words.starts[j], words.ends[j])]
+            for a, b in places:
+                if b > a and _many_digits(text[a:b]) and not taken.meets(a, b):
+                    seen.append({"kind": "", "start": a, "end": b, "value": text[a:b], "patterns": words.contexts(a, b)})
+        elif base:
+            words = Words(text, table.starts[own], table.ends[own])
+            seen = [{"kind": k, "start": a, "end": b, "value": text[a:b], "patterns": words.contexts(a, b)} for k, a, b in base]
+        out[at] = [{"kind": k, "start": a, "end": b} for k, a, b in base], seen
+    return out
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -179,49 +290,48 @@ def _key(kind: int | np.ndarray, first: np.ndarray, second: np.ndarray) -> np.nd
     return ((first * _ODD) ^ second ^ np.asarray(kind, np.uint64)) * _ODD
 
 
-class _Hashed(dict):
-    """For each word as it stands: its hash, and whether a value may start inside it."""
-
-    def __missing__(self, w: str) -> tuple[int, bool]:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[w] = xxhash.xxh3_64_intdigest(_word(w).encode("utf-8", "surrogatepass")), len(w) > LONGEST or bool(_INSIDE.search(w))
-        return found
-
-
 def _pattern_keys(patterns: list[str]) -> np.ndarray:
     parts = [p.split(" ") for p in patterns]
-    first, second = (np.array([xxhash.xxh3_64_intdigest(p[i].encode("utf-8", "surrogatepass")) for p in parts], np.uint64) for i in (1, 2))
+    first, second = (np.array([word_hash(p[i]) for p in parts], np.uint64) for i in (1, 2))
     return _key(np.array([int(p[0]) for p in parts], np.uint64), first, second)
 
 
-def _surrounded(text: str, own: Filter, cache: _Hashed) -> list:
-    """Strings with fewer digits that a pattern of the filter surrounds, with these patterns."""
-    got = [cache[w] for w in _GAP.findall(text)]
-    if not got:
-        return []
-    h, inside = np.array([g[0] for g in got], np.uint64), np.array([g[1] for g in got])
-    begins = inside.copy()
-    begins[2 + own.passes(_key(1, h[:-2], h[1:-1]))] = True
-    begins[1 + own.passes(_key(2, h[:-2], h[2:]))] = True
-    # a value of several words has its next word further on
-    whole = bool(_SEVERAL.search(text))
-    if not whole and not begins.any():
-        return []
-    words, base = Words(text), Covered(base_spans(text))
-    every = _values(text) if whole else [v for i in np.flatnonzero(begins).tolist() for v in _values(text, words.starts[i], words.ends[i])]
-    every = [(a, b) for a, b in every if b > a and not _many_digits(text[a:b]) and not base.meets(a, b)]
-    around = [words.contexts(a, b) for a, b in every]
-    flat = [p for own_ in around for p in own_]
-    good = np.zeros(len(flat), bool)
-    good[own.passes(_pattern_keys(flat))] = True
-    seen, at = [], 0
-    for (a, b), patterns in zip(every, around, strict=True):
-        kept = [p for k, p in enumerate(patterns, at) if good[k]]
-        at += len(patterns)
-        if kept:
-            seen.append({"kind": "", "start": a, "end": b, "value": text[a:b], "patterns": kept})
-    return seen
+def _surrounded(texts: list[str], own: Filter) -> list[list]:
+    """For each text, strings with fewer digits that a pattern of the filter surrounds, with these patterns."""
+    table, out = Table(texts), [[] for _ in texts]
+    h, of = table.hashes(), table.text
+    begins = table.inside.copy()
+    if len(h) > 2:
+        same = of[:-2] == of[2:]
+        first = 2 + own.passes(_key(1, h[:-2], h[1:-1]))
+        begins[first[same[first - 2]]] = True
+        middle = 1 + own.passes(_key(2, h[:-2], h[2:]))
+        begins[middle[same[middle - 1]]] = True
+    for i, text in enumerate(texts):
+        part = slice(table.first[i], table.first[i + 1])
+        # a value of several words has its next word further on
+        whole = bool(("[" in text or "(" in text or table.digits[part].any()) and _SEVERAL.search(text))
+        at = np.flatnonzero(begins[part])
+        if not whole and not len(at):
+            continue
+        words, base = Words(text, table.starts[part], table.ends[part]), Covered(base_spans(text))
+        if whole:
+            begun = {k for j in at.tolist() for k in range(words.starts[j], words.ends[j])}
+            every = [(a, b) for a, b in _values(text) if a in begun or " " in text[a:b]]
+        else:
+            every = [v for j in at.tolist() for v in _values(text, words.starts[j], words.ends[j])]
+        every = [(a, b) for a, b in every if b > a and not _many_digits(text[a:b]) and not base.meets(a, b)]
+        around = [words.contexts(a, b) for a, b in every]
+        flat = [p for one in around for p in one]
+        good = np.zeros(len(flat), bool)
+        good[own.passes(_pattern_keys(flat))] = True
+        k = 0
+        for (a, b), patterns in zip(every, around, strict=True):
+            kept = [p for p, ok in zip(patterns, good[k : k + len(patterns)], strict=True) if ok]
+            k += len(patterns)
+            if kept:
+                out[i].append({"kind": "", "start": a, "end": b, "value": text[a:b], "patterns": kept})
+    return out
 
 
 def bootstrap(strings: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
@@ -257,16 +367,16 @@ def find_pii(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUP
 
     def first():
         def fn(texts: list[str]) -> dict:
-            got = [_scan(t) for t in texts]
+            got = _scan(texts)
             return {"key": [_text_key(t) for t in texts], "base": [g[0] for g in got], "strings": [g[1] for g in got]}
 
         return fn
 
     def second():
-        own, cache = Filter(shared.value), _Hashed()
+        own = Filter(shared.value)
 
         def fn(texts: list[str]) -> dict:
-            return {"key": [_text_key(t) for t in texts], "strings": [_surrounded(t, own, cache) for t in texts]}
+            return {"key": [_text_key(t) for t in texts], "strings": _surrounded(texts, own)}
 
         return fn
 

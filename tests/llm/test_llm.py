@@ -244,6 +244,21 @@ def test_random_strings_after_any_sign():
         assert not secrets.random_spans(text, tokens), text
 
 
+def test_words_and_their_hashes():
+    rng = random.Random(40)
+    texts = ["".join(rng.choice("aB1é.,'\t \u3000(x:Σİ日🙂") for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", " ", "x" * 100 + " 'y'", "..."]
+    table = pii.Table(texts)
+    hashes = table.hashes()
+    for i, text in enumerate(texts):
+        own = slice(table.first[i], table.first[i + 1])
+        spans = [m.span() for m in re.finditer(r"\S+", text)]
+        assert [*zip(table.starts[own].tolist(), table.ends[own].tolist())] == spans
+        assert hashes[own].tolist() == [pii.word_hash(pii._word(text, a, b)) for a, b in spans]
+        assert table.digits[own].tolist() == [len(re.findall("[0-9]", text[a:b])) for a, b in spans]
+        signs = re.compile(r"(?<=\S)[\"'<>|,;:=(\[{/?&#](?=\S)")
+        assert table.inside[own].tolist() == [bool(signs.search(text, a, b)) or b - a > 200 for a, b in spans]
+
+
 def test_pii_base(spark, odd):
     text = "mail a.b@c.example.com, ip 10.0.0.255 not 10.0.0.256; card 4111 1111 1111 1111, no 4111 1111 1111 1112; call +1 (212) 555-0100."
     row = pii.pii_digest(docs_of(spark, [text])).first()
@@ -268,7 +283,7 @@ def test_pii_patterns_equal_plain_regexes():
 @pytest.mark.parametrize("text", ["1" * 1_000_000 + " a@b.c", "a" * 1_000_000 + " @", "a@b.cc 12345 " * 50_000, "a@" * 300_000, "1." * 300_000])
 def test_long_runs_take_linear_time(text):
     began = time.process_time()
-    pii._scan(text)
+    pii._scan([text])
     secrets.scan(text, len)
     assert time.process_time() - began < 20
 
@@ -291,7 +306,7 @@ def test_pii_patterns_find_values_of_any_kind(spark):
     got = {r["doc_id"] - 80: {(new[r["doc_id"] - 80][s["start"] : s["end"]], s["kind"]) for s in r["more"]} for r in rows if r["more"]}
     assert got == {0: {("jane [at] host", "like_email")}, 1: {("somebody", "like_email")}, 2: {("555 123 4567", "like_phone")}}
     long = "x" * 300 + "?id=12345678&" + "y" * 300
-    assert "12345678" in {s["value"].split("=")[-1] for s in pii._scan(long)[1]}
+    assert "12345678" in {s["value"].split("=")[-1] for s in pii._scan([long])[0][1]}
 
 
 # mixing
