@@ -37,7 +37,7 @@ SPACE = "▁"
 #: Characters a chunk, and of its run-up; characters of a segment, and of one that is not cut further.
 CHUNK, RUN_UP, SEGMENT, LEAST_SEGMENT = 512, 24, 2_000_000, 65_536
 #: States and hashed transitions that are kept before the tables are built anew; classes with a dense column.
-MOST_STATES, MOST_HASHED, DENSE = 150_000, 500_000, 128
+MOST_STATES, MOST_HASHED, DENSE = 1 << 17, 500_000, 128
 #: Classes of characters outside the vocabulary, by their number of UTF-8 bytes.
 _BYTES = 4
 
