@@ -5,10 +5,12 @@ around an entity make lexical patterns; patterns and the values they surround fo
 Spark scores it in rounds: a pattern's confidence in a kind is the share of its distinct values
 that are known to be of the kind, a value's score follows from the confidences of its patterns,
 and well-scored values count as known in the next round. Patterns of high confidence then mark
-identifiers that no fixed pattern covers. Strings with four or more digits enter the graph first; the
-patterns that then have enough known values are applied to the texts again (by a Bloom filter of
-fixed size, then exactly), and whatever stands at their place, digits or not, is a value too and
-counts for or against them.
+identifiers that no fixed pattern covers. Strings with four or more digits enter the graph first; for the
+patterns that then have enough known values, whatever stands at their place, digits or not, is a value
+too and counts for or against them. Each round reads the texts again (by a Bloom filter of fixed size,
+then exactly) for those patterns that it would trust by the values in hand. A pattern with more values
+than its known ones bear cannot be trusted, so a task that meets so many tells this alone: common
+words around a few identifiers cost no more rows than that. A round that trusts nothing is the last.
 
 A context is made of whole words, parted by white space: what stands in the same word before or
 after the value counts as a word of its own. Words that aren't addresses and have over 200
@@ -19,14 +21,16 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Covered, drop_tables, map_texts, write_table
+from .common import Covered, drop_tables, map_texts, runs, write_table
 from .decontaminate import Filter, bloom
 
 KINDS = ("email", "ip", "card", "phone")
@@ -48,6 +52,8 @@ _PIECE = re.compile(r"[^=&/?:()\[\]{}#]{1,200}")
 _SEVERAL = re.compile(r"[\[(](?:at|dot)[\])]|[0-9][A-Za-z().+/-]* [A-Za-z().+/-]*[0-9]")
 #: Copies of a text's spans that the rows with this text are dealt over.
 SALTS = 16
+#: Slots (as a power of 2) of the table of how many values patterns may have; patterns that share one have its largest number.
+LIMITS = 18
 #: Confidence that a pattern needs, the known values it must surround, and the rounds.
 CONFIDENCE, SUPPORT, ROUNDS = 0.8, 8, 3
 
@@ -128,6 +134,7 @@ def _tables() -> dict[str, np.ndarray]:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+_ANGLES = [ord("<"), ord(">")]
 
 
 class Table:
@@ -160,7 +167,8 @@ class Table:
         inner[2:-1] = np.cumsum(sign[1:-1] & ~space[:-2] & ~space[2:]) if len(code) > 2 else 0
         inner[-1] = inner[-2] if len(code) > 1 else 0
         self.inside = (inner[end] - inner[begin] > 0) | (end - begin > LONGEST)
-
+        # < and > part values from their word, but stay in contexts
+        self.edged = np.isin(code[begin], _ANGLES) | np.isin(code[end - 1], _ANGLES)
 
     def hashes(self) -> np.ndarray:
         """A word's hash: of its characters without the signs at its ends."""
@@ -296,16 +304,33 @@ def _pattern_keys(patterns: list[str]) -> np.ndarray:
     return _key(np.array([int(p[0]) for p in parts], np.uint64), first, second)
 
 
-def _surrounded(texts: list[str], own: Filter) -> list[list]:
-    """For each text, strings with fewer digits that a pattern of the filter surrounds, with these patterns."""
+def _value_keys(values: list[str]) -> np.ndarray:
+    """Numbers of strings themselves."""
+    return _key(4, np.array([xxhash.xxh3_64_intdigest(v.encode("utf-8", "surrogatepass")) for v in values], np.uint64), np.uint64(0))
+
+
+def _surrounded(texts: list[str], own: Filter, without: np.ndarray | None = None, known: Filter | None = None) -> list[list]:
+    """For each text, strings with fewer digits that a pattern of the filter surrounds, with these patterns.
+
+    Patterns whose numbers are in ``without`` are left out; with ``known``, so are strings that don't pass it.
+    """
     table, out = Table(texts), [[] for _ in texts]
+    without = np.empty(0, np.uint64) if without is None else without
     h, of = table.hashes(), table.text
-    begins = table.inside.copy()
-    if len(h) > 2:
+    begins = table.inside | table.edged
+
+    def passes(keys: np.ndarray) -> np.ndarray:
+        at = own.passes(keys)
+        return at[~np.isin(keys[at], without)]
+
+    if known:
+        begins |= table.ends - table.starts > 64
+        begins[known.passes(_key(3, h, np.uint64(0)))] = True
+    elif len(h) > 2:
         same = of[:-2] == of[2:]
-        first = 2 + own.passes(_key(1, h[:-2], h[1:-1]))
+        first = 2 + passes(_key(1, h[:-2], h[1:-1]))
         begins[first[same[first - 2]]] = True
-        middle = 1 + own.passes(_key(2, h[:-2], h[2:]))
+        middle = 1 + passes(_key(2, h[:-2], h[2:]))
         begins[middle[same[middle - 1]]] = True
     for i, text in enumerate(texts):
         part = slice(table.first[i], table.first[i + 1])
@@ -320,11 +345,14 @@ def _surrounded(texts: list[str], own: Filter) -> list[list]:
             every = [(a, b) for a, b in _values(text) if a in begun or " " in text[a:b]]
         else:
             every = [v for j in at.tolist() for v in _values(text, words.starts[j], words.ends[j])]
+        if known:
+            passed = known.passes(_value_keys([text[a:b] for a, b in every]))
+            every = [every[k] for k in passed.tolist()]
         every = [(a, b) for a, b in every if b > a and not _many_digits(text[a:b]) and not base.meets(a, b)]
         around = [words.contexts(a, b) for a, b in every]
         flat = [p for one in around for p in one]
         good = np.zeros(len(flat), bool)
-        good[own.passes(_pattern_keys(flat))] = True
+        good[passes(_pattern_keys(flat))] = True
         k = 0
         for (a, b), patterns in zip(every, around, strict=True):
             kept = [p for p, ok in zip(patterns, good[k : k + len(patterns)], strict=True) if ok]
@@ -334,27 +362,190 @@ def _surrounded(texts: list[str], own: Filter) -> list[list]:
     return out
 
 
+def _edges(strings: DataFrame) -> DataFrame:
+    return write_table(strings.select("kind", "value", F.explode("patterns").alias("pattern")).distinct(), "edges")
+
+
+def _seeds(edges: DataFrame) -> DataFrame:
+    return edges.where("kind <> ''").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
+
+
+def _hits(edges: DataFrame, known: DataFrame) -> DataFrame:
+    return edges.select("value", "pattern").distinct().join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("hits"))
+
+
+def _trusted(hits: DataFrame, values: DataFrame, confidence: float, support: int) -> DataFrame:
+    # one value in hand for each pattern, so that few hits don't make a sure pattern
+    trusted = hits.join(values, "pattern").withColumn("confidence", F.col("hits") / (F.col("values") + 1)).where((F.col("confidence") >= confidence) & (F.col("hits") >= support))
+    return write_table(trusted.select("pattern", "kind", "confidence"), "patterns")
+
+
+def _known(edges: DataFrame, trusted: DataFrame, seeds: DataFrame, confidence: float) -> DataFrame:
+    found = edges.where("kind = ''").join(trusted.withColumnRenamed("kind", "as"), "pattern").groupBy("value", F.col("as").alias("kind"))
+    found = found.agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score")).where(F.col("score") >= confidence)
+    return seeds.unionByName(found.join(seeds.select("value").distinct(), "value", "left_anti"))
+
+
 def bootstrap(strings: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """pattern, kind and confidence of the patterns that rounds of scoring leave trusted.
 
     ``strings`` has kind ('' where unknown), value and patterns.
     """
-    edges = write_table(strings.select("kind", "value", F.explode("patterns").alias("pattern")).distinct(), "edges")
+    edges = _edges(strings)
     values = edges.groupBy("pattern").agg(F.count_distinct("value").alias("values"))
-    seeds = edges.where("kind <> ''").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    known = seeds
+    seeds = known = _seeds(edges)
     trusted = None
     for _ in range(rounds):
-        hits = edges.select("value", "pattern").distinct().join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("hits"))
-        # one value in hand for each pattern, so that few hits don't make a sure pattern
-        trusted = hits.join(values, "pattern").withColumn("confidence", F.col("hits") / (F.col("values") + 1)).where((F.col("confidence") >= confidence) & (F.col("hits") >= support))
-        trusted = write_table(trusted.select("pattern", "kind", "confidence"), "patterns")
-        found = edges.where("kind = ''").join(trusted.withColumnRenamed("kind", "as"), "pattern").groupBy("value", F.col("as").alias("kind"))
-        found = found.agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score")).where(F.col("score") >= confidence)
-        known = seeds.unionByName(found.join(seeds.select("value").distinct(), "value", "left_anti"))
+        trusted = _trusted(_hits(edges, known), values, confidence, support)
+        known = _known(edges, trusted, seeds, confidence)
+    return trusted
+
+
+def _pattern_bloom(patterns: DataFrame):
+    def keys(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_pattern_keys(b.column(0).to_pylist()).view(np.int64))], names=["key"])
+
+    return bloom(patterns.select("pattern").mapInArrow(keys, "key long"))
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - LIMITS)).astype(np.int64)
+
+
+def _batches(batches):
+    """Texts of about a million characters at a time, null as empty."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(0)), 0).to_pylist()
+        for i, j in runs(sizes, 1_000_000):
+            yield [t or "" for t in b.column(0).slice(i, j - i).to_pylist()]
+
+
+def _strings_at(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """pattern and value of all strings with few digits at the places of ``asked`` patterns.
+
+    These have ``most``, the number of values beyond which they cannot be trusted. Where a task
+    meets more, it gives one row for the pattern, with no value and this many in ``least``.
+    """
+
+    def slots(batches):
+        for b in batches:
+            at = _slot(_pattern_keys(b.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(1)], names=["slot", "most"])
+
+    shared = _pattern_bloom(asked)
+    # a table of fixed size: at most 2^LIMITS numbers reach the driver
+    got = asked.select("pattern", "most").mapInArrow(slots, "slot long, most long").groupBy("slot").agg(F.max("most").alias("most")).toArrow()
+    limits = np.zeros(1 << LIMITS, np.int64)
+    limits[got.column("slot").to_numpy()] = got.column("most").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(limits)
+
+    def run(batches):
+        own, limits, without = Filter(shared.value), sent.value, np.empty(0, np.uint64)
+        held: dict[str, tuple[set[str] | None, int]] = {}
+        for texts in _batches(batches):
+            over = []
+            for found in _surrounded(texts, own, without):
+                for s in found:
+                    for p in s["patterns"]:
+                        if p not in held:
+                            held[p] = set(), int(limits[_slot(_pattern_keys([p]))[0]])
+                        values, most = held[p]
+                        if values is None:
+                            continue
+                        values.add(s["value"])
+                        if len(values) > most:
+                            held[p] = None, most
+                            over.append(p)
+            if over:
+                without = np.sort(np.concatenate([without, _pattern_keys(over)]))
+        rows = ((p, v, 0) if v is not None else (p, None, most + 1) for p, (values, most) in held.items() for v in ([None] if values is None else values))
+        yield from _rows(rows)
+
+    kinds = "pattern string, value string, least long"
+    return docs.select("text").mapInArrow(run, kinds).join(asked.select("pattern"), "pattern", "left_semi")
+
+
+def _rows(rows):
+    """Batches of rows (pattern, value, least)."""
+    while part := list(islice(rows, 50_000)):
+        p, v, n = zip(*part, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(v, pa.string()), pa.array(n, pa.int64())], names=["pattern", "value", "least"])
+
+
+def _places_of(docs: DataFrame, values: DataFrame, able: DataFrame) -> DataFrame:
+    """pattern and value of all places of ``values`` that ``able`` patterns surround."""
+
+    def keys(batches):
+        for b in batches:
+            held = b.column(0).to_pylist()
+            of_words = np.array([word_hash(_word(v)) for v in held], np.uint64)
+            both = np.concatenate([_key(3, of_words, np.uint64(0)), _value_keys(held)])
+            yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64))], names=["key"])
+
+    shared, strings = _pattern_bloom(able), bloom(values.select("value").mapInArrow(keys, "key long"))
+
+    def run(batches):
+        own, known = Filter(shared.value), Filter(strings.value)
+        for texts in _batches(batches):
+            yield from _rows(iter({(p, s["value"], 0) for found in _surrounded(texts, own, known=known) for s in found for p in s["patterns"]}))
+
+    found = docs.select("text").mapInArrow(run, "pattern string, value string, least long").select("pattern", "value").distinct()
+    return found.join(able, "pattern", "left_semi").join(values, "value", "left_semi")
+
+
+def confirmed(docs: DataFrame, seen: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
+    """What ``bootstrap`` gives over ``seen`` and all strings with few digits at its able patterns.
+
+    Able are those with enough known values, and those that ``bootstrap`` trusts by ``seen`` alone. The
+    graph is not written out: a round needs the places of known values, and all values of the
+    patterns that it would otherwise trust.
+    """
+    edges = _edges(seen)
+    # only patterns with enough known values can be trusted: those of seeds, and of what these lead to
+    seeded = edges.where("kind <> ''").select("value", "pattern").distinct().groupBy("pattern").count().where(F.col("count") >= support)
+    able = write_table(seeded.select("pattern").union(bootstrap(seen, confidence, support, rounds).select("pattern")).distinct(), "able")
+    seeds = known = _seeds(edges)
+    many = F.length(F.regexp_replace("value", "[^0-9]", "")) >= 4
+    gathered = seeds.select("value").distinct()
+    least = trusted = None
+    for k in range(rounds):
+        if k:
+            # what the last round found, wherever else it stands
+            new = write_table(known.select("value").distinct().where(~many).join(gathered, "value", "left_anti"), "new")
+            gathered = gathered.union(new)
+            if not new.isEmpty():
+                more = _places_of(docs, new, able).select(F.lit("").alias("kind"), "value", "pattern")
+                edges = write_table(edges.unionByName(more).distinct(), "edges")
+        hits = write_table(_hits(edges, known), "hits")
+        best = hits.groupBy("pattern").agg(F.max("hits").alias("hits")).where(F.col("hits") >= support).join(able, "pattern", "left_semi")
+        ask = best.join(_counted(edges, least), "pattern").where(F.col("hits") / (F.col("values") + 1) >= confidence)
+        if least is not None:  # not those whose values are all in hand
+            ask = ask.join(least.where("least = 0"), "pattern", "left_anti")
+        ask = write_table(ask.select("pattern", F.floor(F.col("hits") / confidence - 1 + 1e-6).alias("most")), "ask")
+        if not ask.isEmpty():
+            got = write_table(_strings_at(docs, ask), "strings")
+            marks = ask.select("pattern").join(got.groupBy("pattern").agg(F.max("least").alias("least")), "pattern", "left").na.fill(0)
+            old = marks if least is None else least.join(ask, "pattern", "left_anti").unionByName(marks)
+            least = write_table(old, "least")
+            whole = got.join(least.where("least = 0"), "pattern", "left_semi").select(F.lit("").alias("kind"), "value", "pattern")
+            edges = write_table(edges.unionByName(whole).distinct(), "edges")
+            drop_tables(got)
+        trusted = _trusted(hits, _counted(edges, least), confidence, support)
+        if trusted.isEmpty():
+            break
+        known = _known(edges, trusted, seeds, confidence)
     return trusted
 
 
+def _counted(edges: DataFrame, least: DataFrame | None) -> DataFrame:
+    """pattern and the number of its values, or what is known to be fewer."""
+    values = edges.groupBy("pattern").agg(F.count_distinct("value").alias("values"))
+    if least is None:
+        return values
+    return values.join(least, "pattern", "left").select("pattern", F.greatest("values", F.coalesce("least", F.lit(0))).alias("values"))
+
+
 def find_pii(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, ``base`` (kind, start, end) and ``more`` (the same, kinds ``like_<kind>``) for each row.
 
@@ -385,28 +576,19 @@ def find_pii(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUP
     scanned = write_table(map_texts(docs, f"doc_id long, key string, base array<{span}>, strings array<{string}>", first), "scan")
     each = lambda df: df.where(F.size("strings") > 0).select("key", F.explode("strings").alias("s")).select("key", "s.*").distinct()
     seen = write_table(each(scanned), "strings")
-    # only patterns with enough known values can be trusted: those of seeds, and of what these lead to
-    seeded = seen.where("kind <> ''").select("value", F.explode("patterns").alias("pattern")).distinct().groupBy("pattern").count().where(F.col("count") >= support)
-    able = seeded.select("pattern").union(bootstrap(seen, confidence, support, rounds).select("pattern")).distinct()
-
-    def keys(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_pattern_keys(b.column(0).to_pylist()).view(np.int64))], names=["key"])
-
-    shared = bloom(able.mapInArrow(keys, "key long"))
-    others = map_texts(docs, f"doc_id long, key string, strings array<{string}>", second)
+    trusted = confirmed(docs, seen, confidence, support, rounds)
+    fresh = seen.where("kind = ''").select("key", "start", "end", "patterns")
+    if not trusted.isEmpty():
+        shared = _pattern_bloom(trusted)
+        others = map_texts(docs, f"doc_id long, key string, strings array<{string}>", second)
+        fresh = fresh.unionByName(others.select("key", F.explode("strings").alias("s")).select("key", "s.start", "s.end", "s.patterns"))
     # what passed the filter, less what isn't one of the patterns
-    others = each(others).withColumn("pattern", F.explode("patterns")).drop("patterns").join(able, "pattern")
-    others = others.groupBy("key", "kind", "start", "end", "value").agg(F.array_sort(F.collect_set("pattern")).alias("patterns"))
-    every = write_table(seen.unionByName(others), "every")
-    trusted = bootstrap(every, confidence, support, rounds)
-    fresh = every.where("kind = ''").select("key", "start", "end", F.explode("patterns").alias("pattern"))
-    fresh = fresh.join(trusted.withColumnRenamed("kind", "as"), "pattern")
+    fresh = fresh.select("key", "start", "end", F.explode("patterns").alias("pattern")).join(trusted.withColumnRenamed("kind", "as"), "pattern")
     best = fresh.groupBy("key", "start", "end").agg(F.max(F.struct("confidence", "as")).alias("b"))
     more = best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.concat(F.lit("like_"), "b.as").alias("kind")))).alias("more"))
     more = more.select("key", F.transform("more", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("more"))
     more = write_table(more, "more")
-    drop_tables(seen, every)
+    drop_tables(seen)
     none = F.array().cast(f"array<{span}>")
     # many rows may share a text: they are dealt over copies of its spans
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")

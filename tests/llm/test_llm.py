@@ -309,6 +309,36 @@ def test_pii_patterns_find_values_of_any_kind(spark):
     assert "12345678" in {s["value"].split("=")[-1] for s in pii._scan([long])[0][1]}
 
 
+def test_pii_common_contexts_cost_few_rows(spark, monkeypatch):
+    """Common words around some addresses: their 3,000 other values tell against them in a few rows."""
+    rows, write = {}, pii.write_table
+
+    def spied(df, label):
+        out = write(df, label)
+        rows[label] = max(rows.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(pii, "write_table", spied)
+    letters = "abcdefghijklmno"
+    words = [a + b + c for a in letters for b in letters for c in letters][:3000]
+    texts = [f"the the user{i}@host.example.com" for i in range(40)]
+    texts += [" ".join(f"the the {w}" for w in words[i : i + 10]) for i in range(0, 3000, 10)]
+    got = pii.find_pii(docs_of(spark, texts)).collect()
+    assert not any(r["more"] for r in got)
+    assert max(n for label, n in rows.items() if label != "scan") < 500, rows
+
+
+def test_pii_rounds_find_by_values_without_digits(spark):
+    """The second round trusts a context by words that the first one found."""
+    found = ["jane", "anna", "lea", "tim", "zoe"]
+    texts = [f"write to mailbox user{i}@host.example.com today" for i in range(40)]
+    texts += [f"write to mailbox {w} today" for w in found]
+    texts += [f"then ask for user{i}@host.example.com soon" for i in range(8)] + [f"then ask for {w} soon" for w in found]
+    rows = pii.find_pii(docs_of(spark, [*texts, "then ask for somebody soon"])).collect()
+    got = {r["doc_id"]: [s["kind"] for s in r["more"]] for r in rows if r["more"]}
+    assert got == {i: ["like_email"] for i in [*range(40, 45), *range(53, 59)]}
+
+
 # mixing
 
 
