@@ -160,13 +160,12 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return gram, np.bincount(at, np.concatenate([p[1] for p in parts]), len(gram)).astype(np.int64)
 
 
-def _ask(shards: int):
-    """A block's distinct keys in each shard, and its trusted rows' counts (shard -1)."""
+def _ask(shards: int, ask: bool = True, count: bool = True):
+    """A block's distinct keys in each shard, and its trusted rows' counts (shard -1); either may be left out."""
 
     def run(key, block: pa.Table, trusted: pa.Table) -> pa.Table:
-        own = np.zeros(0, bool)
         parts, counts = [], []
-        for packed in block.column("rows").to_pylist():
+        for packed in block.column("rows").to_pylist() if ask or trusted.num_rows else ():
             texts = _texts(packed).column("text").to_pylist()
             own = np.zeros(len(texts), bool)
             for at in trusted.column("at").to_pylist():
@@ -174,18 +173,22 @@ def _ask(shards: int):
             for first, held in _slices(texts):
                 good = own[first : first + len(held)]
                 counts.append(counted(grams([t for t, ok in zip(held, good, strict=True) if ok])[0]))
-                parts += [counts[-1][0], distinct(grams([t for t, ok in zip(held, good, strict=True) if not ok])[0])]
-                if len(parts) >= 32:
-                    parts, counts = [distinct(np.concatenate(parts))], [_merged(counts)]
-        top = distinct(np.concatenate([np.empty(0, np.int64), *parts]))
-        keys = keys_of(top)
-        of = keys % shards
-        order = np.argsort(of, kind="stable")
-        found, starts = np.unique(of[order], return_index=True)
-        asked = [_pack(np.diff(k, prepend=0)) for k in np.split(keys[order], starts[1:])]
-        gram, n = _merged(counts)
-        ids = [key[0].as_py()] * (len(found) + 1)
-        return pa.table({"block": pa.array(ids, pa.int64()), "shard": pa.array([*found.tolist(), -1], pa.int64()), "keys": pa.array([*asked, _pack(gram, n)], pa.binary())})
+                if ask:
+                    parts += [counts[-1][0], distinct(grams([t for t, ok in zip(held, good, strict=True) if not ok])[0])]
+                if len(counts) >= 16:
+                    parts, counts = [distinct(np.concatenate(parts))] if ask else [], [_merged(counts)] if count else []
+        shard, packed = [], []
+        if ask:
+            keys = keys_of(distinct(np.concatenate([np.empty(0, np.int64), *parts])))
+            of = keys % shards
+            order = np.argsort(of, kind="stable")
+            found, starts = np.unique(of[order], return_index=True)
+            shard += found.tolist()
+            packed += [_pack(np.diff(k, prepend=0)) for k in np.split(keys[order], starts[1:])]
+        if count:
+            shard.append(-1)
+            packed.append(_pack(*_merged(counts)))
+        return pa.table({"block": pa.array([key[0].as_py()] * len(shard), pa.int64()), "shard": pa.array(shard, pa.int64()), "keys": pa.array(packed, pa.binary())})
 
     return run
 
@@ -228,7 +231,6 @@ def model_values(counts: DataFrame) -> tuple[DataFrame, float, list[DataFrame]]:
         if k > 1:  # below the highest order, an n-gram counts the distinct characters before it
             lower = F.col("gram").bitwiseAND(F.lit(_low(k - 1))).alias("gram")
             counts = write_table(counts.groupBy(lower).agg(F.count("*").alias("n"), F.sum("raw").alias("raw")), "counts")
-    made += tables
     base, lower, out = 1.0, None, []
     for k, counts in enumerate(tables[::-1], 1):
         counts = counts.withColumn("cut", F.least(_discount(counts), F.col("n").cast("double")))
@@ -251,6 +253,7 @@ def model_values(counts: DataFrame) -> tuple[DataFrame, float, list[DataFrame]]:
         made.append(found)
         out.append(found.select(F.col("gram").bitwiseOR(F.lit(k << 60)).alias("key"), "value", "raw", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("raw_c")))
         lower = found.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
+    drop_tables(*tables)
     rows = out[0]
     for more in out[1:]:
         rows = rows.unionByName(more)
@@ -395,10 +398,14 @@ def losses(docs: DataFrame, good: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = packed.select("block", "rows")
     shards = _prime(max(16, packed.count() // 2))
     both = blocks.groupBy("block").cogroup(trusted.select("block", "at").groupBy("block"))
-    asked = write_table(both.applyInArrow(_ask(shards), "block long, shard long, keys binary"), "asked")
-    values, base, made = model_values(unpacked_counts(asked))
+    asking = "block long, shard long, keys binary"
+    own = write_table(both.applyInArrow(_ask(shards, ask=False), asking), "asked")
+    values, base, made = model_values(unpacked_counts(own))
+    drop_tables(own)
+    # the questions go straight to their shards: written out as well, they would take their disk twice
+    asked = both.applyInArrow(_ask(shards, count=False), asking)
     values = values.withColumn("shard", F.pmod("key", F.lit(shards)))
-    answers = asked.where("shard >= 0").groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(_answer, "block long, answers binary")
+    answers = asked.groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(_answer, "block long, answers binary")
     # the places of trusted rows go along as another row of answers
     sent = answers.select("block", "answers", F.lit(None).cast("array<int>").alias("at"))
     sent = sent.unionByName(trusted.select("block", F.lit(None).cast("binary").alias("answers"), "at"))
@@ -410,7 +417,7 @@ def losses(docs: DataFrame, good: DataFrame, block: int = BLOCK) -> DataFrame:
 
     both = blocks.groupBy("block").cogroup(sent.groupBy("block"))
     out = write_table(both.applyInArrow(run, "doc_id long, lang string, n_chars long, trusted boolean, loss double"), "losses")
-    drop_tables(packed, trusted, asked, *made)
+    drop_tables(packed, trusted, *made)
     return out
 
 

@@ -547,6 +547,33 @@ def test_quality_model_is_spread_and_grows(spark):
     assert counts[1] > 9 * counts[0]
 
 
+def test_quality_questions_are_not_written_beside(spark, monkeypatch):
+    """Only counts of trusted rows are written; tables of counts go when values are made of them."""
+    held, write, drop = {}, perplexity.write_table, perplexity.drop_tables
+
+    def spied(df, label):
+        out = write(df, label)
+        held[out._written[0]] = label
+        if label == "asked":
+            assert out.where("shard >= 0").count() == 0 and out.count() > 0
+        if label == "losses":
+            assert not {"asked", "counts"} & set(held.values())
+        return out
+
+    def dropped(*tables):
+        for df in tables:
+            held.pop(df._written[0], None)
+        drop(*tables)
+
+    monkeypatch.setattr(perplexity, "write_table", spied)
+    monkeypatch.setattr(perplexity, "drop_tables", dropped)
+    rng = random.Random(41)
+    docs = docs_of(spark, [sentences(rng, EN, 12) for _ in range(20)])
+    good = spark.createDataFrame([(i,) for i in range(10)], "doc_id long")
+    assert perplexity.losses(docs, good, 300).count() == 20
+    assert list(held.values()) == ["losses"]
+
+
 # decontamination
 
 
