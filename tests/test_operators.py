@@ -315,3 +315,22 @@ def test_sweeps_are_registered_whole(monkeypatch):
     queries.als_rmse_sweep(None, None)
     queries.kmeans_cost_sweep(None, None)
     assert calls == [(2, {}), (1, {})]
+
+
+def test_predictions_by_blocks(spark, monkeypatch):
+    """Blocks give what joins of neighbours give, and no step makes a row of each pair of ratings."""
+    rng = random.Random(8)
+    rows = [(u, i * 1_000_003 % 2**31, float(rng.randint(1, 5))) for u in range(40) for i in range(30) if rng.random() < 0.4]
+    train, test = recommend.hash_split(spark.createDataFrame(rows + [(99, 7, 2.0), (98, 5, 3.0)], "user int, item int, rating double"))
+    for most in (100, 16_000_000):
+        monkeypatch.setattr(recommend, "MOST_IN_BLOCK", most)
+        monkeypatch.setattr(recommend, "MOST_PRODUCTS", most)
+        near = recommend.neighbours(train, recommend.item_similarity(train), test, 7)
+        for k in (3, 7):
+            want = {(r[0], r[1]): r[2] for r in recommend.predict(near, k).collect()}
+            got = {(r["user"], r["item"]): r["s"] / r["w"] for r in recommend.predictions(train, test.withColumnRenamed("rating", "truth"), (3, 7)).select("user", "item", F.col(f"s{k}").alias("s"), F.col(f"w{k}").alias("w")).collect()}
+            assert got == pytest.approx(want) and len(want) > 50
+    plan = recommend.item_similarity(train)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and "FlatMapGroupsInArrow" in plan
+    empty = train.where("user < 0")
+    assert recommend.item_similarity(empty).count() == 0 and recommend.predictions(empty, test.withColumnRenamed("rating", "truth"), (3,)).count() == 0
