@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Centroids that are broadcast at once.
 BLOCK = 10_000
+#: Fits that run at once: rounds of small jobs leave most cores waiting for the driver.
+FITS = 8
 
 
 def as_vectors(df: DataFrame, column: str) -> DataFrame:
@@ -45,8 +49,12 @@ def cost(points: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def cost_sweep(vectors: DataFrame, ks: Iterable[int] = range(2, 21), inits: Iterable[str] = ("k-means||", "random"), seed: int = 1) -> DataFrame:
-    """init, k and cost of one fit each, over cached vectors."""
+    """init, k and cost of one fit each, over cached vectors; fits run side by side."""
     vectors = vectors.cache()
-    rows = [(init, k, float(kmeans(vectors, k, init=init, seed=seed).summary.trainingCost)) for init in inits for k in ks]
+    vectors.count()
+    tried = [(init, k) for init in inits for k in ks]
+    one = inheritable_thread_target(vectors.sparkSession)(lambda t: float(kmeans(vectors, t[1], init=t[0], seed=seed).summary.trainingCost))
+    with ThreadPool(FITS) as pool:
+        costs = dict(pool.map(lambda t: (t, one(t)), tried[::-1], chunksize=1))  # the longest fits first
     vectors.unpersist()
-    return vectors.sparkSession.createDataFrame(rows, "init string, k int, cost double")
+    return vectors.sparkSession.createDataFrame([(*t, costs[t]) for t in tried], "init string, k int, cost double")

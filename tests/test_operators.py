@@ -334,3 +334,13 @@ def test_predictions_by_blocks(spark, monkeypatch):
     assert "Join Inner" not in plan and "FlatMapGroupsInArrow" in plan
     empty = train.where("user < 0")
     assert recommend.item_similarity(empty).count() == 0 and recommend.predictions(empty, test.withColumnRenamed("rating", "truth"), (3,)).count() == 0
+
+
+def test_kmeans_fits_run_side_by_side(spark, monkeypatch):
+    both = threading.Barrier(2, timeout=60)
+    fit = cluster.kmeans
+    monkeypatch.setattr(cluster, "kmeans", lambda *a, **k: (both.wait(), fit(*a, **k))[1])
+    points = cluster.as_vectors(spark.createDataFrame([([float(i % 7)],) for i in range(50)], "v array<double>"), "v")
+    rows = cluster.cost_sweep(points, (2, 3)).collect()
+    assert [(r["init"], r["k"]) for r in rows] == [("k-means||", 2), ("k-means||", 3), ("random", 2), ("random", 3)]
+    assert all(r["cost"] == pytest.approx(fit(points, r["k"], init=r["init"]).summary.trainingCost) for r in rows)
