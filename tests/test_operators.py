@@ -344,3 +344,34 @@ def test_kmeans_fits_run_side_by_side(spark, monkeypatch):
     rows = cluster.cost_sweep(points, (2, 3)).collect()
     assert [(r["init"], r["k"]) for r in rows] == [("k-means||", 2), ("k-means||", 3), ("random", 2), ("random", 3)]
     assert all(r["cost"] == pytest.approx(fit(points, r["k"], init=r["init"]).summary.trainingCost) for r in rows)
+
+
+def test_signed_sets_and_their_blocks(spark, monkeypatch):
+    """Signatures, recall and error against brute force, in one block and in many; shingles are rows of no join."""
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abc é\U0001f600") for _ in range(60)) for _ in range(4)]
+    docs = [(i, base[i % 4][: 60 - i // 8] + rng.choice(["", "xy", "z"]) + "abcd"[i % 4]) for i in range(40)] + [(3, "qrs"), (90, ""), (91, None), (92, "#")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    own: dict = {}
+    for i, t in docs:
+        own.setdefault(i, set()).update((t or "")[j : j + 3] for j in range(len(t or "")))
+    sets = {i: {x for x in v if sum(x in w for w in own.values()) > 1} for i, v in own.items()}
+    sets = {i: v for i, v in sets.items() if v}
+    rows = spark.createDataFrame([(i, x) for i, v in sets.items() for x in v], "doc_id long, shingle string")
+    signatures = {r[0]: r[1] for r in similarity.minhash(similarity.numbered(rows), 60).collect()}
+    signed = similarity.signed_sets(df, 3, 60)
+    assert "shingle" not in signed._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: r["signature"] for r in signed.collect()} == signatures
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    truth = [p for p, x in alike.items() if x >= 0.8]
+    banded = lambda n: {(a, b) for a, b in alike if any(signatures[a][i * (60 // n) : (i + 1) * (60 // n)] == signatures[b][i * (60 // n) : (i + 1) * (60 // n)] for i in range(n))}
+    met = banded(12)
+    off = [alike[a, b] - sum(x == y for x, y in zip(signatures[a], signatures[b], strict=True)) / 60 for a, b in met]
+    for most in (16_000_000, 400):
+        monkeypatch.setattr(similarity, "MOST_IN_BLOCK", most)
+        got = {r["bands"]: r["recall"] for r in similarity.recalls(signed, [6, 12]).collect()}
+        assert got == pytest.approx({n: sum(p in banded(n) for p in truth) / len(truth) for n in (6, 12)})
+        assert similarity.candidate_error(signed, 12).first()["rmse"] == pytest.approx((sum(x * x for x in off) / len(off)) ** 0.5)
+        assert {(r["a"], r["b"]): r["jaccard"] for r in similarity.similar_pairs(df, 3, 60, 60).collect()} == pytest.approx({p: alike[p] for p in truth if p in banded(60)})
+    long = {r["doc_id"]: len(r["set"]) for r in similarity.signed_sets(spark.createDataFrame([(1, "abcdef"), (2, "abcdeg")], "doc_id long, text string"), 5, 20).collect()}
+    assert long == {1: 1, 2: 1}
