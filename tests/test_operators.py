@@ -375,3 +375,36 @@ def test_signed_sets_and_their_blocks(spark, monkeypatch):
         assert {(r["a"], r["b"]): r["jaccard"] for r in similarity.similar_pairs(df, 3, 60, 60).collect()} == pytest.approx({p: alike[p] for p in truth if p in banded(60)})
     long = {r["doc_id"]: len(r["set"]) for r in similarity.signed_sets(spark.createDataFrame([(1, "abcdef"), (2, "abcdeg")], "doc_id long, text string"), 5, 20).collect()}
     assert long == {1: 1, 2: 1}
+
+
+def test_recommendations_against_brute_force(spark, monkeypatch):
+    """One-sided lists, users without lists and users alike, in one block and in many."""
+    rng = random.Random(4)
+    lists = {u: {v for v in range(24) if v != u and rng.random() < 0.15} for u in range(20)}
+    for u in (40, 41, 42):  # alike: on the same lists, and friends
+        lists[u] = {40, 41, 42, 3, 5} - {u}
+        for v in (3, 5):
+            lists[v].add(u)
+    lists[50] = set()
+    rows = lines(spark, *(f"{u}\t{','.join(map(str, v))}" for u, v in lists.items()))
+    n: dict = {}
+    for v in lists.values():
+        for a in v:
+            for b in v:
+                if a != b and b not in lists.get(a, ()) and a not in lists.get(b, ()):
+                    n.setdefault(a, {}).setdefault(b, 0)
+                    n[a][b] += 1
+    want = {a: [b for b, _ in sorted(x.items(), key=lambda e: (-e[1], e[0]))][:4] for a, x in n.items()} | {u: [] for u, v in lists.items() if not v}
+    for most in (16_000_000, 20):
+        monkeypatch.setattr(social, "MOST_IN_BLOCK", most)
+        got = social.recommendations(files.adjacency(rows), 4)
+        assert {r[0]: r[1] for r in got.collect()} == want
+    same = social._alike(files.adjacency(rows))[0].where("user >= 40 and user < 50").collect()
+    assert {r["c"] for r in same} == {40}
+
+
+def test_friends_are_no_rows(spark):
+    from tessera.plans import inputs
+
+    plan = inputs.adjacency(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and "FlatMapGroupsInArrow" in plan
