@@ -95,8 +95,22 @@ def rule_text(found: DataFrame) -> DataFrame:
 
 
 def fp_growth(baskets: DataFrame, support: float = 0.01, confidence: float = 0.8, partitions: int = 10):
-    """A fitted model: ``freqItemsets`` of any size, ``associationRules`` with one head."""
-    return FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=partitions).fit(baskets.select(F.array_distinct("items").alias("items")))
+    """A fitted model: ``freqItemsets`` of any size, ``associationRules`` with one head.
+
+    The model mines again for each use of its sets, so baskets are kept; ``fp_rules`` mines once.
+    """
+    kept = checkpointed(baskets.select(F.array_distinct("items").alias("items")))
+    return FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=partitions).fit(kept)
+
+
+def fp_rules(model, confidence: float) -> DataFrame:
+    """body (sorted), head and confidence of the rules with one head, from frequent sets mined once."""
+    sets = checkpointed(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
+    whole = sets.where(F.size("items") > 1).select("items", F.col("freq").alias("both"), F.explode("items").alias("head"))
+    whole = whole.withColumn("body", F.array_except("items", F.array("head")))
+    alone = sets.select(F.col("items").alias("body"), F.col("freq").alias("alone"))
+    out = whole.join(alone, "body").withColumn("confidence", F.col("both").cast("double") / F.col("alone").cast("double"))
+    return out.where(F.col("confidence") >= confidence).select("body", "head", "confidence")
 
 
 def fp_itemsets(model, least: int = 2) -> DataFrame:

@@ -164,7 +164,7 @@ def fpgrowth_itemsets(spark, sf):
 @query
 def fp_rules(spark, sf):
     model = itemsets.fp_growth(inputs.baskets(spark, sf), SUPPORT, CONFIDENCE)
-    return model.associationRules.select(F.array_join(F.array_sort("antecedent"), ",").alias("body"), F.col("consequent")[0].alias("head"), F.round("confidence", 6).alias("confidence"))
+    return itemsets.fp_rules(model, CONFIDENCE).select(F.array_join("body", ",").alias("body"), "head", F.round("confidence", 6).alias("confidence"))
 
 
 def _docs(spark, sf):

@@ -408,3 +408,17 @@ def test_friends_are_no_rows(spark):
 
     plan = inputs.adjacency(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_fp_rules_mine_once(spark):
+    """The model's own rules, from kept sets and kept baskets: no use of them mines or joins again."""
+    rng = random.Random(2)
+    rows = [(i, [x for x in "abcdef" if rng.random() < 0.6]) for i in range(80)]
+    calls = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (calls.add(1), x)[1], "array<string>").asNondeterministic()
+    baskets = spark.createDataFrame(rows, "basket_id int, items array<string>").withColumn("items", seen("items"))
+    model = itemsets.fp_growth(baskets, 0.1, 0.5)
+    want = {(tuple(sorted(r["antecedent"])), r["consequent"][0]): r["confidence"] for r in model.associationRules.collect()}
+    found = itemsets.fp_rules(model, 0.5)
+    assert {(tuple(r["body"]), r["head"]): r["confidence"] for r in found.collect()} == pytest.approx(want) and len(want) > 50
+    assert calls.value == 80
