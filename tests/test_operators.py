@@ -422,3 +422,13 @@ def test_fp_rules_mine_once(spark):
     found = itemsets.fp_rules(model, 0.5)
     assert {(tuple(r["body"]), r["head"]): r["confidence"] for r in found.collect()} == pytest.approx(want) and len(want) > 50
     assert calls.value == 80
+
+
+def test_als_fits_run_side_by_side(spark, monkeypatch):
+    both = threading.Barrier(2, timeout=60)
+    fit = recommend.als
+    train = spark.createDataFrame(CF, "user int, item int, rating double")
+    want = [recommend.rmse(fit(train, 2, n, 0.1, 7).transform(train)).first()["rmse"] for n in (1, 4)]
+    monkeypatch.setattr(recommend, "als", lambda *a, **k: (both.wait(), fit(*a, **k))[1])
+    got = recommend.als_sweep(train, train, (2,), (0.1,), (1, 4)).collect()
+    assert [r["iterations"] for r in got] == [1, 4] and [r["rmse"] for r in got] == pytest.approx(want)
